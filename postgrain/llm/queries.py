@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postgrain.llm import encode as bpe, survivors
+from postgrain.llm import encode as bpe, leaks, reading, survivors
 from postgrain.session import table
 
 
@@ -31,5 +31,20 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), key="doc_id", text="text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p7_ids": p7_ids}
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items they hold, with the longest run of words and the proximity match."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the evaluation items they leak."""
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reading level of the English texts of 50 words or more."""
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
+
+
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
