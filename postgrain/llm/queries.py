@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postgrain.llm import encode as bpe, leaks, reading, survivors
+from postgrain.llm import encode as bpe, leaks, neardup, reading, survivors
 from postgrain.session import table
 
 
@@ -26,6 +26,20 @@ def p1_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.withColumnRenamed("grp", "posting_key")
 
 
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.near_duplicates(table(spark, sf_dir, "jobs"), key="id", text="description_text", n=3, threshold=0.5)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of jobs whose descriptions share at least half of their three-word sequences."""
+    return neardup.all_pairs(*_near(spark, sf_dir)).select(F.col("key_a").alias("job_id_a"), F.col("key_b").alias("job_id_b"))
+
+
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each job's class of identical descriptions, its copies and the number of linked classes."""
+    return neardup.classes_with_links(*_near(spark, sf_dir)).select(F.col("key").alias("job_id"), F.col("class_key").alias("class_job_id"), "copies", "links")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents"), key="doc_id", text="text")
@@ -46,5 +60,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
