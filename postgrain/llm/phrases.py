@@ -1,0 +1,42 @@
+"""Further wordings of form questions, by canonical key, beside the label and sample of the reference list."""
+
+PHRASES: dict[str, list[str]] = {
+    "full_name": ["Candidate name", "Legal name (first and last)", "Name as on your ID", "What should we call you officially?"],
+    "contact_email": ["Best email to reach you", "Email ID for updates", "Where can we email you?", "Your mail id"],
+    "contact_phone": ["Best number to call you on", "Cell phone", "Contact number with country code", "WhatsApp number"],
+    "resume_file": ["Attach resume", "CV / Resume", "Latest CV", "Please add your curriculum vitae"],
+    "cover_letter": ["Covering note", "Letter of motivation", "Motivation letter"],
+    "profile_link": ["Public profile URL", "Your networking profile link"],
+    "code_link": ["Public repositories link", "Repo profile URL", "Where can we see code you wrote?"],
+    "portfolio_link": ["Link to your portfolio", "Show us your work", "Website or blog URL"],
+    "work_permit": ["Are you authorized to work where the role is based?", "Do you hold the right to work here?", "Legally permitted to take employment at this place?"],
+    "visa_support": ["Do you require sponsorship, now or later?", "Need immigration support?", "Would you need employer backing for a visa?"],
+    "relocate_ok": ["Are you open to relocation?", "Ready to shift base for this job?", "Would you relocate if selected?"],
+    "notice_days": ["Current notice", "Days of notice you must serve", "How much notice does your present employer need?"],
+    "join_date": ["Date you can start", "From which day are you available?", "How soon can you join us?", "Joining date"],
+    "pay_expected": ["Desired pay", "Expected CTC", "Monthly compensation you are looking for", "Salary expectation"],
+    "pay_current": ["Current CTC", "Present salary", "Your existing compensation"],
+    "heard_from": ["How did you come to know of the role?", "Source of application", "Through which channel did you learn of us?"],
+    "referred_by": ["Name of the person who referred you", "Referrer's employee code", "Were you referred by a colleague of ours?"],
+    "graduation": ["Expected year of passing", "Graduating in", "Month and year your degree ends", "Passing-out year"],
+    "grade_avg": ["Cumulative grade", "GPA", "Overall percentage", "Your aggregate marks"],
+    "study_field": ["Branch / stream", "Discipline", "Which specialisation are you studying?"],
+    "degree_level": ["Degree being pursued", "Top qualification so far", "Which qualification do you hold?"],
+    "school_name": ["Alma mater", "College name", "Which university do you attend?"],
+    "exp_years": ["Length of professional experience", "Total experience", "Work experience in years"],
+    "employer_now": ["Name of your current organisation", "Present company", "Who employs you today?"],
+    "place_now": ["City of residence", "Place you stay at now", "Present town", "Where are you based?"],
+    "onsite_ok": ["Are you fine with on-site days?", "Okay with being in office five days?", "Willing to come to the workplace daily?"],
+    "pronoun_set": ["How should we refer to you?", "Preferred pronouns"],
+    "gender_id": ["Sex / gender", "What is your gender?", "Which gender do you identify with?"],
+    "disability": ["Any disability you wish to declare?", "Differently abled?", "Person with disability"],
+    "veteran": ["Are you a military veteran?", "Ex-service member?", "Past military service"],
+    "age_ok": ["18 years or older?", "Are you of legal working age?", "Confirm you are above 18 years"],
+    "languages_known": ["Language proficiency", "List languages you are fluent in", "Spoken languages"],
+    "clock_zone": ["State the time zone you sit in", "Working hours zone", "Your timezone"],
+    "privacy_ok": ["Accept the privacy notice", "I consent to processing of my data", "Permission to keep my details"],
+    "why_us": ["Reason for applying", "What draws you to this company?", "What excites you about working with us?", "Why this role?"],
+    "more_info": ["Any other comments", "Further remarks", "Is there something you want to add?"],
+    "weekly_hours": ["Days per week you can work", "Hours available per week", "Weekly time commitment"],
+    "duration_ok": ["How long can you intern?", "Length of internship you can commit to", "Months of availability"],
+}

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postgrain.llm import encode as bpe, leaks, neardup, reading, survivors
+from postgrain.llm import canonical, encode as bpe, leaks, neardup, reading, survivors
+from postgrain.llm.phrases import PHRASES
 from postgrain.session import table
 
 
@@ -40,6 +41,34 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes_with_links(*_near(spark, sf_dir)).select(F.col("key").alias("job_id"), F.col("class_key").alias("class_job_id"), "copies", "links")
 
 
+# Words and remarks around a place or a question that are no part of it.
+PLACE_WORDS = "central greater district area metro city sector phase floor block old new north south east west region town near nr off opp at".split()
+REMARKS = r"\([^)]*\)|\[[^\]]*\]"
+QUESTION_REMARKS = REMARKS + r"|^\s*(?:q(?:uestion)?\s*)?\d{1,3}\s*[.):]\s+|^\s*please tell us\s*:?|\s[–—-]\s.*$|/\s*leave blank.*$"
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cities = table(spark, sf_dir, "city_ref")
+    names = cities.select(F.col("city_id").cast("string").alias("ref_key"), F.explode(F.concat(F.array("city"), F.coalesce("other_names", F.array().cast("array<string>")))).alias("name"))
+    questions = table(spark, sf_dir, "question_ref")
+    more = spark.createDataFrame([(k, p) for k, ps in PHRASES.items() for p in ps], "ref_key string, name string")
+    known = questions.select(F.col("canonical_key").alias("ref_key"))
+    wordings = questions.select(F.col("canonical_key").alias("ref_key"), F.explode(F.array("label", "sample_phrasing")).alias("name")).unionByName(more.join(known, "ref_key", "left_semi"))
+    city = canonical.map_to_list(table(spark, sf_dir, "jobs"), names, key="id", value="city", ignore=PLACE_WORDS, decoration=REMARKS, segments=r"[,;|/]|\s[-–—]\s", threshold=0.38)
+    label = canonical.map_to_list(table(spark, sf_dir, "form_question"), wordings, key="id", value="raw_label", decoration=QUESTION_REMARKS, threshold=0.5)
+    return city.select(F.lit("city").alias("field"), "row_id", "ref_key", "score").unionByName(label.select(F.lit("raw_label").alias("field"), "row_id", "ref_key", "score"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each typed city and question label with its entry of the reference list, or none."""
+    return _mapped(spark, sf_dir).select("field", "row_id", "ref_key")
+
+
+def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of unmatched rows by field."""
+    return _mapped(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("ref_key") == canonical.NONE).alias("unmatched"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return bpe.encode(table(spark, sf_dir, "documents"), key="doc_id", text="text")
@@ -60,5 +89,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}
