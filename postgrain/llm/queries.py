@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postgrain.llm import canonical, encode as bpe, leaks, neardup, reading, survivors
+from postgrain.llm import canonical, encode as bpe, leaks, matching, neardup, reading, survivors
 from postgrain.llm.phrases import PHRASES
+from postgrain.llm.roles import COMPANY_WORDS, ROLES, TITLE_WORDS
 from postgrain.session import table
 
 
@@ -59,6 +60,24 @@ def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return city.select(F.lit("city").alias("field"), "row_id", "ref_key", "score").unionByName(label.select(F.lit("raw_label").alias("field"), "row_id", "ref_key", "score"))
 
 
+def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs and listings that mean the same opening, with the calibrated confidence."""
+    cities = [(str(r[0]), n) for r in table(spark, sf_dir, "city_ref").select("city_id", "city", "other_names").collect() for n in [r[1], *(r[2] or [])]]
+    args = {
+        "roles": [(g[0], n) for g in ROLES for n in g], "role_words": TITLE_WORDS, "company_words": COMPANY_WORDS,
+        "cities": {"names": cities, "ignore": frozenset(PLACE_WORDS), "decoration": REMARKS, "segments": r"[,;|/:]|\s[-–—]\s", "threshold": 0.38},
+    }
+    jobs = matching.profiles(table(spark, sf_dir, "jobs"), key="id", title="title", company="company", places=["location", "city"], **args)
+    listings = matching.profiles(table(spark, sf_dir, "board_listings"), key="listing_id", title="title", company="company", places=["location"], **args)
+    m = matching.match(jobs, listings)
+    return m.select(F.col("left_key").alias("job_id"), F.col("right_key").alias("listing_id"), F.round("confidence", 6).alias("confidence"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs and listings of the same role at the same employer in the same place."""
+    return p3_scores(spark, sf_dir).select("job_id", "listing_id")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each typed city and question label with its entry of the reference list, or none."""
     return _mapped(spark, sf_dir).select("field", "row_id", "ref_key")
@@ -89,5 +108,5 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_scores": p3_scores, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
 ORACLES: dict[str, str] = {}

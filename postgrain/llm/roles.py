@@ -1,0 +1,55 @@
+"""Wordings of one role, and the words around names of roles and companies that say nothing about which one it is."""
+
+ROLES: list[list[str]] = [
+    ["software engineer", "software engineering", "software development", "sde", "swe"],
+    ["backend engineer", "backend engineering", "back-end developer", "server-side engineer"],
+    ["frontend engineer", "frontend engineering", "front-end developer", "ui developer"],
+    ["full stack developer", "full stack development", "fullstack engineer"],
+    ["android developer", "android development", "android engineer"],
+    ["ios developer", "ios development", "ios engineer"],
+    ["game developer", "game development", "gameplay programmer"],
+    ["blockchain developer", "blockchain development", "smart contract developer"],
+    ["compiler engineer", "compiler engineering", "compilers"],
+    ["database engineer", "database internals", "storage engine developer"],
+    ["firmware engineer", "embedded firmware", "embedded engineer"],
+    ["chip design", "vlsi design", "rtl designer"],
+    ["verification engineer", "hardware verification", "dv engineer"],
+    ["qa engineer", "quality assurance", "test engineer", "qa"],
+    ["security engineer", "security engineering", "appsec engineer"],
+    ["network engineer", "network engineering", "networking"],
+    ["cloud engineer", "cloud infrastructure", "infra engineer"],
+    ["site reliability", "site reliability engineer", "sre"],
+    ["data engineer", "data engineering", "data pipeline engineer"],
+    ["data scientist", "data science", "ds"],
+    ["data analyst", "data analytics", "analytics analyst"],
+    ["business analyst", "business analysis", "ba"],
+    ["machine learning", "machine learning engineer", "ml engineer", "ml"],
+    ["natural language processing", "nlp", "nlp engineer"],
+    ["computer vision", "cv engineer", "vision engineer"],
+    ["speech recognition", "speech scientist", "asr engineer"],
+    ["recommender systems", "recommendations engineer", "recsys"],
+    ["robotics engineer", "robotics controls", "controls engineer"],
+    ["bioinformatics", "bioinformatics analyst", "computational biology"],
+    ["gis analyst", "geospatial analysis", "gis"],
+    ["operations research", "or scientist", "optimisation analyst"],
+    ["quantitative research", "quant researcher", "quant"],
+    ["supply chain analyst", "supply chain analysis", "logistics analyst"],
+    ["product manager", "product management", "pm", "apm"],
+    ["product designer", "product design", "ui/ux designer"],
+    ["technical writer", "technical writing", "docs writer"],
+    ["content writer", "content writing", "copywriter"],
+    ["growth marketing", "growth marketer", "performance marketing"],
+    ["human resources", "hr", "people operations"],
+    ["developer relations", "developer advocate", "devrel"],
+]
+
+TITLE_WORDS = (
+    "intern interns internship internships trainee trainees student students hiring summer spring winter fall autumn batch of urgent "
+    "paid unpaid hybrid remote onsite full time part wfh wfo"
+).split()
+
+COMPANY_WORDS = (
+    "health foods analytics energy finance networks software mobility labs systems studios digital robotics technologies works "
+    "careers global group india international holdings ltd limited pvt private inc llp llc gmbh corp corporation co company plc ag sa "
+    "hiring stealth unit yc r d rd jobs"
+).split()
