@@ -57,6 +57,11 @@ def _zone_map() -> Column:
     return F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv])
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The columns added and computed once a row: a generator keeps the optimizer from copying them into every use and filter."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def canonical(value: Column) -> Column:
     """``family|year|month|day|hour|minute|second|fraction|am-pm|zone``, or the value as it is."""
     v = F.regexp_replace(F.trim(value), r"[\s ]+", " ")
@@ -131,7 +136,8 @@ def to_utc(
     post = order_posteriors(long.where("value is not null"), rounds=rounds, registry_weight=registry_weight)
     post = post.select(F.col("source").alias("p_source"), "p_dmy")
     p = long.join(post, F.col("source") == F.col("p_source"), "left").drop("p_source")
-    p = p.withColumn("c", F.split(canonical(F.col("value")), r"\|")).withColumn("fam", F.when(F.size("c") == 10, F.get("c", F.lit(0))))
+    p = once(p, c=F.split(canonical(F.col("value")), r"\|"))
+    p = p.withColumn("fam", F.when(F.size("c") == 10, F.get("c", F.lit(0))))
 
     def part(i: int) -> Column:
         return F.get("c", F.lit(i))
@@ -152,10 +158,9 @@ def to_utc(
         .otherwise(F.transform(F.array(F.try_element_at(_zone_map(), z)), lambda m: F.when(m.isNotNull(), F.concat(F.when(m < 0, "-").otherwise("+"), F.lpad((F.abs(m) / 60).cast("int").cast("string"), 2, "0"), F.lit(":"), F.lpad((F.abs(m) % 60).cast("string"), 2, "0"))))[0])
     )
     zone = F.when(z == "", F.coalesce(F.col("time_zone"), F.lit("UTC"))).otherwise(offset)
-    p = (
-        p.withColumn("y", year).withColumn("h", hour).withColumn("mi", F.coalesce(num(5), F.lit(0))).withColumn("s", second).withColumn("zone", zone)
-        .withColumn("a", month).withColumn("b", num(3))
-    )
+    written = F.col("fam").isNotNull()
+    fields_ = {"y": year, "h": hour, "mi": F.coalesce(num(5), F.lit(0)), "s": second, "zone": zone, "a": month, "b": num(3)}
+    p = once(p, **{n: F.when(written, c) for n, c in fields_.items()})
 
     def instant(mo: Column, d: Column) -> Column:
         return F.unix_micros(F.try_make_timestamp(F.col("y"), mo, d, F.col("h"), F.col("mi"), F.col("s"), F.col("zone")))
@@ -181,19 +186,20 @@ def to_utc(
         .when(low.rlike(r"^(?:closes\s+)?tomorrow$"), ref_us + 86_400_000_000)
         .otherwise(ref_us + sign * amount * F.try_element_at(unit_s, F.regexp_extract(low, rel, 3)) * 1_000_000)
     )
-    p = p.withColumn("dmy", F.when(F.col("fam") == "N", dmy)).withColumn("mdy", F.when(F.col("fam") == "N", mdy))
+    other_form = F.when(~F.coalesce(written, F.lit(False)), F.coalesce(epoch, relative))
+    p = once(p, plain=F.when(F.col("fam").isin("I", "M"), plain), dmy=F.when(F.col("fam") == "N", dmy), mdy=F.when(F.col("fam") == "N", mdy), other_form=other_form)
     p0 = F.coalesce(F.col("p_dmy"), F.when(F.col("day_first"), 0.95).when(~F.col("day_first"), 0.05).otherwise(0.5))
     ld, lm = p0 * like(F.col("dmy")), (1 - p0) * like(F.col("mdy"))
-    p = p.withColumn("post", F.try_divide(ld, ld + lm))
+    p = once(p, post=F.try_divide(ld, ld + lm))
     numeric = F.col("fam") == "N"
     utc = (
         F.when(numeric, F.when(F.col("post") >= 0.5, F.col("dmy")).otherwise(F.col("mdy")))
-        .when(F.col("fam").isNotNull(), plain)
-        .otherwise(F.coalesce(epoch, relative))
+        .otherwise(F.coalesce("plain", "other_form"))
     )
     other = F.when(numeric & (F.col("dmy") != F.col("mdy")), F.when(F.col("post") >= 0.5, F.col("mdy")).otherwise(F.col("dmy")))
     best = F.greatest(F.col("post"), 1 - F.col("post"))
-    p = p.withColumn("utc_us", utc).withColumn("other_us", other).withColumn("p_reading", F.when(numeric, best).when(F.col("utc_us").isNotNull(), 1.0))
+    p = once(p, utc_us=utc, other_us=other)
+    p = p.withColumn("p_reading", F.when(numeric, best).when(F.col("utc_us").isNotNull(), 1.0))
     status = (
         F.when(F.col("utc_us").isNull(), F.when(F.col("fam").isNotNull(), "invalid").otherwise("none"))
         .when(F.col("other_us").isNotNull(), F.when(best >= sure, "inferred").otherwise("ambiguous"))
