@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postgrain.plans import general
+from postgrain.plans import general, registry, relational, scalars  # noqa: F401
 from postgrain.session import table
 
 
@@ -24,5 +24,5 @@ g AS (SELECT source, lang, count(*) AS texts, CAST(sum(n) AS BIGINT) AS document
 SELECT source, lang, texts, documents, round(documents / sum(documents) OVER (), 9) AS share FROM g
 """
 
-QUERIES = {"flagship_text_share": flagship, **general.QUERIES}
-ORACLES = {"flagship_text_share": FLAGSHIP_SQL, **general.ORACLES}
+QUERIES = {"flagship_text_share": flagship, **general.QUERIES, **registry.QUERIES}
+ORACLES = {"flagship_text_share": FLAGSHIP_SQL, **general.ORACLES, **registry.ORACLES}
