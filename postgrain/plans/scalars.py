@@ -131,7 +131,7 @@ def cosine_top1(t: Tables) -> DataFrame:
     return vectors.nearest(e, e.where("vec_id % 50 = 0"), key="vec_id", vector="embedding", k=1).select("query", "key")
 
 
-@query("""SELECT id, source_url AS url, title, company AS employer, coalesce(location, 'Worldwide') AS place, len(coalesce(tags, [])) AS n_tags FROM jobs WHERE coalesce(title, '') <> '' AND coalesce(company, '') <> ''""")
+@query("""SELECT id, source_url AS url, title, company AS employer, coalesce(nullif(location, ''), 'Worldwide') AS place, len(coalesce(tags, [])) AS n_tags FROM jobs WHERE coalesce(title, '') <> '' AND coalesce(company, '') <> ''""")
 def json_payload_scan(t: Tables) -> DataFrame:
     return payloads.postings_of_json(payloads.as_json_payload(t.jobs), "payload")
 
