@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postgrain.operators.running import with_previous
+
 
 def says_something(c: Column, kind: str) -> Column:
     ok = c.isNotNull()
@@ -33,14 +35,22 @@ def fold(rows: DataFrame, *, key: list[str], order: str, policies: dict[str, str
         elif p == "any":
             a = F.bool_or(x)
         elif p == "union":
-            a = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("o"), F.coalesce(x, F.array().cast(kinds[c])).alias("v")))), lambda s: s["v"])))
+            continue
         else:
             raise ValueError(f"unknown policy {p}")
         aggs.append(a.alias(c))
     keyed = None
     for k in key:
         keyed = F.col(k).isNotNull() if keyed is None else keyed & F.col(k).isNotNull()
-    return rows.where(keyed).groupBy(*key).agg(*aggs)
+    kept = rows.where(keyed)
+    out = kept.groupBy(*key).agg(*aggs) if aggs else kept.select(*key).distinct()
+    for c in (c for c, p in policies.items() if p == "union"):
+        # each element once with its first place, before a key's elements come together
+        e = kept.select(*key, F.col(order).alias("__o"), F.posexplode(c).alias("__p", "__e"))
+        e = e.groupBy(*key, "__e").agg(F.min(F.struct("__o", "__p")).alias("__at"))
+        u = e.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__e"))), lambda s: s["__e"]).alias(c))
+        out = out.join(u, key, "left").withColumn(c, F.coalesce(c, F.array().cast(kinds[c])))
+    return out.select(*key, *policies)
 
 
 def upsert(snapshot: DataFrame, incoming: DataFrame, *, key: list[str], order: str, policies: dict[str, str]) -> DataFrame:
@@ -60,9 +70,6 @@ def insert_absent(snapshot: DataFrame, incoming: DataFrame, *, key: list[str]) -
 
 def transitions(events: DataFrame, allowed: DataFrame, *, key: str, order: str, state: str) -> DataFrame:
     """Every change of state with ``legal``: whether (from, to) is in the table of allowed changes."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(key).orderBy(order)
-    e = events.select(F.col(key), F.col(order), F.col(state).alias("to"), F.lag(state).over(w).alias("from")).where("`from` is not null")
+    e = with_previous(events.select(key, order, F.col(state).alias("to")), key=[key], order=order, value="to", out="from").where("not from_first")
     a = allowed.select(F.col("from").alias("a_from"), F.col("to").alias("a_to"))
     return e.join(a, (e["from"] == a["a_from"]) & (e["to"] == a["a_to"]), "left").select(key, order, "from", "to", F.col("a_to").isNotNull().alias("legal"))

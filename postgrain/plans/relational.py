@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from postgrain.functions import text as tx
-from postgrain.operators import merge, rules
+from postgrain.operators import merge, rules, running
 from postgrain.plans.registry import Tables, query
 
 
@@ -257,12 +257,10 @@ def weighted_volume_line(t: Tables) -> DataFrame:
 
 
 @query("""SELECT priority, count(*) AS n, count(*) FILTER (WHERE domain IS NULL) AS remaining, min(id) FILTER (WHERE domain IS NULL) AS resume_at,
-  list_sort(list(normalized_name) FILTER (WHERE domain IS NULL AND website IS NULL)) AS blank FROM companies GROUP BY 1""")
+  count(*) FILTER (WHERE domain IS NULL AND website IS NULL) AS blank FROM companies GROUP BY 1""")
 def progress_by_pass(t: Tables) -> DataFrame:
     no = F.col("domain").isNull()
-    # a list of the passes' blank companies is the report itself
-    blank = F.array_sort(F.collect_list(F.when(no & F.col("website").isNull(), F.col("normalized_name"))))
-    return t.companies.groupBy("priority").agg(F.count("*").alias("n"), F.count_if(no).alias("remaining"), F.min(F.when(no, F.col("id"))).alias("resume_at"), F.when(F.size(blank) > 0, blank).alias("blank"))
+    return t.companies.groupBy("priority").agg(F.count("*").alias("n"), F.count_if(no).alias("remaining"), F.min(F.when(no, F.col("id"))).alias("resume_at"), F.count_if(no & F.col("website").isNull()).alias("blank"))
 
 
 @query("SELECT canonical_key FROM question_ref EXCEPT SELECT ats_type FROM companies")
@@ -327,8 +325,9 @@ def state_transitions(t: Tables) -> DataFrame:
 
 @query("""SELECT event_id, spent, spent <= 40 AS within FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events)""")
 def running_budget(t: Tables) -> DataFrame:
-    w = W.partitionBy("event_type", F.date_trunc("day", "ts")).orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    return t.events.select("event_id", F.count("*").over(w).alias("spent")).select("event_id", "spent", (F.col("spent") <= 40).alias("within"))
+    e = t.events.select("event_id", "event_type", F.date_trunc("day", "ts").alias("day"), F.lit(1).cast("bigint").alias("one"))
+    r = running.running_sum(e, key=["event_type", "day"], order="event_id", value="one", out="spent")
+    return r.select("event_id", "spent", (F.col("spent") <= 40).alias("within"))
 
 
 @query("""SELECT id, CASE WHEN is_active = 1 AND last_seen < TIMESTAMPTZ '2026-01-01 00:00:00+00' THEN (CASE WHEN id % 4 + 1 >= 3 THEN 'failed' ELSE 'queued' END) ELSE 'kept' END AS state FROM jobs""")

@@ -137,3 +137,18 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     ingest.fold_stream(s, key=["k"], order="last", policies={"n": "sum", "last": "max"}, target=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
     want = spark.read.parquet(str(tmp_path / "in")).groupBy("k").agg(F.sum("n"), F.max("last"))
     assert sorted(map(tuple, ingest.latest(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_running_values_over_segments(spark):
+    from postgrain.operators import running
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["hot", "hot", "hot", "a", None]), i, rng.choice([None, 1, 2])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    prev = {r["o"]: (r["p"], r["p_first"]) for r in running.with_previous(df, key=["k"], order="o", value="v", out="p", segment=7).collect()}
+    total = {r["o"]: r["s"] for r in running.running_sum(df, key=["k"], order="o", value="v", out="s", segment=7).collect()}
+    last, sums = {}, {}
+    for k, o, v in rows:
+        sums[k] = sums.get(k, 0) + (v or 0)
+        assert prev[o] == (last.get(k), k not in last) and total[o] == sums[k]
+        last[k] = v
