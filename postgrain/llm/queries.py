@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postgrain.llm import canonical, encode as bpe, leaks, matching, neardup, reading, survivors
+from postgrain.llm.oracles import ORACLES
 from postgrain.llm.phrases import PHRASES
 from postgrain.llm.roles import COMPANY_WORDS, ROLES, TITLE_WORDS
 from postgrain.session import table
@@ -83,6 +84,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).select("field", "row_id", "ref_key")
 
 
+def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of values mapped or reported, by field."""
+    return _mapped(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n"))
+
+
 def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of unmatched rows by field."""
     return _mapped(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("ref_key") == canonical.NONE).alias("unmatched"))
@@ -108,5 +114,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_scores": p3_scores, "p6_found": p6_found, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_scores": p3_scores, "p6_found": p6_found, "p6_counts": p6_counts, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
