@@ -152,3 +152,83 @@ def test_running_values_over_segments(spark):
         sums[k] = sums.get(k, 0) + (v or 0)
         assert prev[o] == (last.get(k), k not in last) and total[o] == sums[k]
         last[k] = v
+
+
+def test_robots_longest_rule_and_own_group(spark):
+    from postgrain.functions import robots
+
+    text = "User-agent: *\nDisallow: /a\nAllow: /a/b\nUser-agent: x\nUser-agent: y\nDisallow: /*.pdf$ # no papers\nDisallow:\n"
+    rows = [("h", r["agent"], r["allow"], r["path"]) for r in robots.parse(text)]
+    assert len(rows) == 4 and robots.parse(None) == []
+    rules_ = spark.createDataFrame(rows, "host string, agent string, allow boolean, path string")
+    pages = spark.createDataFrame([(1, "h", "/a/c"), (2, "h", "/a/b/c"), (3, "h", "/z.pdf"), (4, "other", "/a")], "id int, host string, path string")
+
+    def got(agent):
+        return {r["key"]: r["allowed"] for r in robots.allowed(pages, rules_, key="id", host="host", path="path", agent=agent).collect()}
+
+    assert got("bot") == {1: False, 2: True, 3: True, 4: True} and got("xbot") == {1: True, 2: True, 3: False, 4: True}
+
+
+def test_grounding(spark):
+    from postgrain.functions import grounding
+
+    df = spark.createDataFrame([("Led 5 people at Acme in 2024", "acme had 5 people", ["secret", "ab", "LED 5"])], "d string, c string, f array<string>")
+    r = df.select(grounding.unsupported_numbers(F.col("d"), F.col("c")).alias("n"), grounding.unsupported_names(F.col("d"), F.col("c")).alias("w"), grounding.leaked_values(F.col("d"), F.col("f")).alias("l")).first()
+    assert (r["n"], r["w"], r["l"]) == (["2024"], ["Led"], ["LED 5"])
+
+
+def test_sections_tables_and_lists(spark):
+    from postgrain.sources import textfiles as tf
+
+    doc = "Skills:\nLanguages: Go, Rust; C\n| a | b |\n|---|---|\nSTOP\n| c | d |"
+    ls = tf.lines(spark.createDataFrame([(1, doc), (2, None)], "id int, t string"), "id", "t")
+    s = tf.sections(ls, "id", F.regexp_extract("line", "^(Skills):$", 1)).count()
+    assert s == 0  # '' is a heading too; null isn't
+    s = tf.sections(ls, "id", F.when(F.col("line") == "Skills:", "skills"))
+    assert {r["section"] for r in s.collect()} == {"skills"} and s.count() == 5
+    rows = tf.flag_after(ls, "id", F.col("line") == "STOP").withColumn("cells", tf.table_row(F.col("line"))).where("cells is not null").orderBy("line_no").collect()
+    assert [(r["cells"], r["after"]) for r in rows] == [(["a", "b"], False), (["c", "d"], True)]
+    kv = ls.where("line_no = 1").select(tf.key_values(F.col("line")).alias("k")).first()["k"]
+    assert (kv["name"], kv["values"]) == ("Languages", ["Go", "Rust", "C"])
+
+
+def test_html_forms_and_linked_data(spark):
+    from postgrain.sources import textfiles as tf
+
+    page = '<form><label>Full <b>name</b></label><input name=a required><input type=hidden><label>Pick</label><select><option value=x>X<option value=y></select></form><script type="application/ld+json">{"a":[{"@type":"Organization","name":"Q"}]}</script><script type="application/ld+json">{broken</script>'
+    assert tf.form_fields(page) == [{"label": "Full name", "type": "text", "required": True, "options": []}, {"label": "Pick", "type": "select", "required": False, "options": ["x", "y"]}]
+    assert tf.linked_data(page, "Organization") == ['{"@type": "Organization", "name": "Q"}'] and tf.linked_data(None, "X") == []
+    df = spark.createDataFrame([(page,), (None,)], "h string")
+    r = df.select(F.size(tf.html_form_fields(F.col("h"))).alias("n"), F.size(tf.html_linked_data(F.col("h"), "Organization")).alias("m")).collect()
+    assert [tuple(x) for x in r] == [(2, 1), (0, 0)]
+
+
+def test_landed_files_give_errors_as_rows(spark, tmp_path):
+    from postgrain.sources.textfiles import LandedFiles
+
+    (tmp_path / "a.json").write_text('{"x": 1}')
+    (tmp_path / "b.json").write_bytes(b"\xff\xfe\xff")
+    spark.dataSource.register(LandedFiles)
+    r = {x["path"][-6:]: (x["payload"], x["error"]) for x in spark.read.format("landed").load(str(tmp_path / "*.json")).collect()}
+    assert r == {"a.json": ('{"x": 1}', None), "b.json": (None, "UnicodeDecodeError")}
+
+
+def test_snapshots_show_only_whole_versions(spark, tmp_path):
+    from postgrain.sources import snapshots
+
+    t = str(tmp_path / "s")
+    assert snapshots.publish(spark.range(2), t) == 0 and snapshots.publish(spark.range(3), t) == 1
+    (tmp_path / "s" / "v2").mkdir()
+    assert snapshots.current(spark, t).count() == 3 and snapshots.publish(spark.range(5), t, version=1) == 1 and snapshots.current(spark, t).count() == 5
+
+
+def test_places_longest_alias_first(spark):
+    from postgrain.functions import places
+
+    al = {"navi mumbai": "Navi Mumbai", "mumbai": "Mumbai", "delhi": "Delhi", "new delhi": "Delhi"}
+    assert one(spark, places.places_in(F.col("a"), al), a="New  Delhi / Navi Mumbai, mumbai; Delhiwala") == ["Delhi", "Navi Mumbai", "Mumbai"]
+    assert one(spark, places.places_in(F.col("a"), al), a=None) == []
+    assert one(spark, places.without_places(F.col("a"), al), a="SDE - Mumbai") == "SDE -  "
+    assert one(spark, places.slug_candidates(F.col("a")), a="Acme Robotics!") == ["acmerobotics", "acme-robotics"]
+    refs = places.refs_in(F.col("a"), {"lever": "lever\\.co/([a-z]+)", "gh": "greenhouse\\.io/([a-zA-Z]+)"})
+    assert [(r["kind"], r["token"]) for r in one(spark, refs, a="greenhouse.io/Acme lever.co/acme greenhouse.io/acme")] == [("gh", "Acme"), ("lever", "acme")]
