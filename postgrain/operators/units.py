@@ -55,7 +55,8 @@ def alias_table(spark: SparkSession) -> DataFrame:
     """unit_kind, alias, unit: one row for each written form (fixed, under a hundred rows)."""
     rows = [("currency", a, u) for u, al in CURRENCY_ALIASES.items() for a in al]
     rows += [("period", a, u) for u, al in PERIOD_ALIASES.items() for a in al]
-    return spark.createDataFrame(rows, "unit_kind string, alias string, unit string")
+    values = ", ".join(f"('{k}', '{a}', '{u}')" for k, a, u in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS a(unit_kind, alias, unit)")
 
 
 def _spelled(t: Column) -> Column:
