@@ -248,6 +248,13 @@ def run_pairs(order_len: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.nda
             yield (part + i).ravel(), (part + j).ravel()
 
 
+def slice_names(spark, slices: int) -> list[int]:
+    """For each of ``slices`` shuffle partitions a number that hashes there: then every slice is a task of its own."""
+    ids = spark.range(0, 40 * slices, 1, 1).select(F.col("id").cast("int").alias("i")).withColumn("p", F.pmod(F.hash("i"), F.lit(slices)))
+    named = {r["p"]: r["i"] for r in ids.groupBy("p").agg(F.min("i").alias("i")).collect()}  # as many as there are slices
+    return [named.get(k, 40 * slices + k) for k in range(slices)]
+
+
 def candidates(
     classes: DataFrame, *, n: int, threshold: float, bands: int, rows: int, n_rows: int, block: int = 512, slice_entries: int = 2_000_000, seed: int = 1
 ) -> DataFrame:
@@ -258,6 +265,7 @@ def candidates(
     slices = max(12, -(-n_rows * bands // slice_entries))
     k = bands * rows
     least = least_agreeing(threshold)
+    names = slice_names(spark, slices)
 
     def pack(batches):
         hashes = WordHashes()
@@ -284,7 +292,7 @@ def candidates(
                         continue
                     own, idx = np.unique(e // bands, return_inverse=True)
                     low = (key.ravel()[e] & _U((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
-                    for c, v in zip(cols, (s, low.tobytes(), idx.astype(np.uint16).tobytes(), cid[own].tobytes(), sk[own].tobytes())):
+                    for c, v in zip(cols, (names[s], low.tobytes(), idx.astype(np.uint16).tobytes(), cid[own].tobytes(), sk[own].tobytes())):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "keys", "idx", "cids", "sketches"])
 
@@ -336,7 +344,7 @@ def candidates(
         })
 
     packed = classes.mapInArrow(pack, "slice int, keys binary, idx binary, cids binary, sketches binary")
-    found = checkpointed(packed.groupBy("slice").applyInArrow(join, "a bigint, b bigint, blocks int, sketch binary"))
+    found = checkpointed(packed.repartition(slices, "slice").groupBy("slice").applyInArrow(join, "a bigint, b bigint, blocks int, sketch binary"))
     pairs = found.where("blocks = 0").select("a", "b")
     hot = found.where("blocks > 0")
     if not hot.isEmpty():
