@@ -10,7 +10,7 @@ value that says more than the entry isn't one. Under the threshold the value is
 The reference list (with its names) is broadcast after a check of its size. Values are resolved once a worker and remembered
 while ``remember`` allows; there is no shuffle, so a value that fills a third of all rows is no hot key.
 
-Defined results: null, empty and blank values give no row; equal best scores go to the nearer tokens, then the smaller
+Defined results: null and empty values give no row, blank ones are ``none``; equal best scores go to the nearer tokens, then the smaller
 key; an empty reference list gives ``none`` throughout; repeated rows stay; long values are read whole.
 """
 
@@ -171,7 +171,7 @@ class Reference:
 def map_to_list(
     df: DataFrame, names: DataFrame, *, key: str, value: str, ignore: Iterable[str] = (), decoration: str = "", segments: str = "", threshold: float = 0.72, remember: int = 200_000
 ) -> DataFrame:
-    """row_id, ref_key, score: one row for each value that isn't blank. ``names``: ref_key STRING, name STRING."""
+    """row_id, ref_key, score: one row for each value that is neither null nor empty. ``names``: ref_key STRING, name STRING."""
     listed = [tuple(r) for r in names.select(F.col("ref_key").cast("string"), "name").limit(MAX_REFERENCE_ROWS + 1).collect()]
     if len(listed) > MAX_REFERENCE_ROWS:
         raise ValueError("the reference list is too large to broadcast")
@@ -192,5 +192,5 @@ def map_to_list(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.string()), pa.array(scores, pa.float64())], names=["row_id", "ref_key", "score"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.where(F.trim(F.col(value)) != "").select(F.col(key).alias("row_id"), F.col(value).alias("v"))
+    rows = df.where(F.col(value) != "").select(F.col(key).alias("row_id"), F.col(value).alias("v"))
     return rows.mapInArrow(run, f"row_id {kind}, ref_key string, score double")

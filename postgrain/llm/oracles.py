@@ -44,7 +44,7 @@ SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
 """
 
 _P6 = """
-SELECT field, count(*) AS n FROM (SELECT 'city' AS field FROM jobs WHERE trim(city) <> '' UNION ALL SELECT 'raw_label' FROM form_question WHERE trim(raw_label) <> '') GROUP BY 1
+SELECT field, count(*) AS n FROM (SELECT 'city' AS field FROM jobs WHERE city <> '' UNION ALL SELECT 'raw_label' FROM form_question WHERE raw_label <> '') GROUP BY 1
 """
 
 ORACLES = {"p1_found": _P1, "p2_found": _P2, "p8_found": _P8, "p6_counts": _P6}

@@ -39,6 +39,6 @@ def test_rows(spark):
     df = spark.createDataFrame([(1, "kolmegaon", "x"), (2, None, "x"), (3, "", "x"), (4, "  ", "x"), (5, "Nowhere", "x"), (1, "kolmegaon", "x")], "id bigint, city string, ref_key string")
     names = spark.createDataFrame(CITIES, "ref_key string, name string")
     got = sorted((r["row_id"], r["ref_key"]) for r in c.map_to_list(df, names, key="id", value="city", threshold=0.38).collect())
-    assert got == [(1, "1"), (1, "1"), (5, "none")]
+    assert got == [(1, "1"), (1, "1"), (4, "none"), (5, "none")]
     assert {r["ref_key"] for r in c.map_to_list(df, names.where("false"), key="id", value="city").collect()} == {"none"}
     assert c.map_to_list(df.where("false"), names, key="id", value="city").count() == 0
