@@ -73,3 +73,8 @@ def place_key(location: Column, title: Column, city: Column, country: Column, mo
     some = lambda x: F.nullif(x, F.lit(""))
     where = F.coalesce(some(tx.alnum_key(listed)), some(tx.alnum_key(city)), some(F.substring(tx.alnum_key(location), 1, 60)), F.lit("unknown"))
     return F.when(remote, F.when(land != "", F.concat(F.lit("remote-"), land)).otherwise("remote")).otherwise(where)
+
+
+def cluster_key(company: Column, title: Column, cities: Cities) -> Column:
+    """Brand and title: one claim across spellings, sources and cities."""
+    return F.concat_ws("|", tx.brand_key(company), title_key(title, cities))

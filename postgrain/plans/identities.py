@@ -38,3 +38,9 @@ def keep_first_by_identity(t: Tables) -> DataFrame:
     place = identity.place_key(F.col("location"), F.col("title"), F.col("city"), F.col("country"), F.col("work_mode"), c)
     key = F.concat_ws("::", tx.company_key(F.col("company")), identity.title_key(F.col("title"), c), place)
     return t.jobs.groupBy(F.sha2(key, 256).alias("dedup_hash")).agg(F.min("id").alias("kept"), (F.count("*") - 1).alias("merged"))
+
+
+@query(f"WITH {_KEYED} SELECT cluster, min(id) AS winner, count(*) - 1 AS refused FROM (SELECT id, {_BRAND} || '|' || {_ROLE} AS cluster FROM j) GROUP BY 1")
+def claim_by_brand(t: Tables) -> DataFrame:
+    j = t.jobs.select("id", identity.cluster_key(F.col("company"), F.col("title"), _cities(t)).alias("cluster"))
+    return j.groupBy("cluster").agg(F.min("id").alias("winner"), (F.count("*") - 1).alias("refused"))

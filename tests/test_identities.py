@@ -28,6 +28,11 @@ def test_identity_keeps_countries_apart_and_merges_legal_forms(spark, tmp_path):
     assert got == {(1, 1), (3, 0), (4, 1), (5, 0), (7, 0), (8, 0), (9, 0)}
 
 
+def test_claims_hold_across_spellings(spark, tmp_path):
+    got = {(r["cluster"], r["winner"], r["refused"]) for r in catalog.QUERIES["claim_by_brand"](spark, tables(spark, tmp_path)).collect()}
+    assert got == {("brontavia|intern-sde", 1, 1), ("acme|intern-sde", 3, 5), ("|", 9, 0)}
+
+
 def test_no_listed_cities(spark):
     c = identity.Cities([])
     r = spark.range(1).selectExpr("'Fort (Remote)' l", "'SDE' t", "cast(null as string) n").select(identity.place_key(*map(F.col, "ltnnn"), c).alias("p"))
