@@ -6,6 +6,12 @@ and answers every test passage on it, so postings are never shuffled and no docu
 term's offset, and intersecting it with the offset-adjusted lists of the next rarest terms, then of all others. Only
 terms that occur in some test passage get postings; nothing else can match.
 
+A proximity match (``near``) is a window of ``min_words`` passage words of which a share of at least ``near_share`` stands in the document
+in the passage's order, with alignments that differ by at most ``slack`` places; so words changed, left out or put in don't hide a
+passage. With ``k`` words to be met, one of the ``min_words - k + 1`` rarest of the window is met: their offset-adjusted postings are
+intersected with those of the other terms with a tolerance of ``slack``, dropped as soon as too many are missed, and what is left is
+decided exactly.
+
 Words are runs of letters and digits, lower-cased, after compatibility normalisation and removal of invisible characters and
 combining marks; so case, spacing, punctuation, line breaks and invisible characters don't count.
 
@@ -18,6 +24,7 @@ document that holds a passage twice, or a repeated row, gives one row a (documen
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import defaultdict
@@ -45,10 +52,10 @@ class Passages:
     def __init__(self, items: list[tuple[int, str | None]], min_words: int):
         self.m = min_words
         self.vocabulary: dict[str, int] = {}
-        rows, owner, offset, self.lengths = [], [], [], {}
+        rows, owner, offset, self.lengths, self.words = [], [], [], {}, {}
         for item, text in items:
             ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in tokens(text or "")]
-            self.lengths[item] = len(ids)
+            self.lengths[item], self.words[item] = len(ids), ids
             for k in range(len(ids) - min_words + 1):
                 rows.append(ids[k : k + min_words])
                 owner.append(item)
@@ -60,8 +67,8 @@ class Passages:
 class Shard:
     """Postings of some documents: for each test term its positions in the stream of all words, ascending."""
 
-    def __init__(self, texts: list[str | None], passages: Passages):
-        get, gap = passages.vocabulary.get, passages.m
+    def __init__(self, texts: list[str | None], passages: Passages, slack: int = 0):
+        get, gap = passages.vocabulary.get, passages.m + slack
         stream: list[int | None] = []
         starts = np.zeros(len(texts), np.int64)
         for k, t in enumerate(texts):
@@ -100,10 +107,116 @@ class Shard:
                 break
         return window, first
 
+    def near(self, p: Passages, slack: int, least: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(window, place of its first word by the alignment of a word met, place of that word) where ``least`` words are met in order."""
+        none = np.zeros(0, np.int64)
+        if not len(p.windows) or not len(self.positions):
+            return none, none, none
+        rare, out = np.argsort(self.df[p.windows], axis=1, kind="stable"), []
+        for a in range(p.m - least + 1):  # the rarest word met has this rank; those before it are missed
+            counts = self.df[np.take_along_axis(p.windows, rare[:, a : a + 1], 1)[:, 0]]
+            total = np.cumsum(counts)
+            lo = 0
+            while lo < len(counts):
+                hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + block, "right")))
+                out.append(self._near(p, slack, least, rare, a, np.arange(lo, hi), counts[lo:hi]))
+                lo = hi
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _near(self, p, slack, least, rare, a, windows, n):
+        window = np.repeat(windows, n)
+        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = self.positions[self.begin[p.windows[window, rare[window, a]]] + within]
+        first = at - rare[window, a]
+        missed = np.full(len(window), a, np.int8)
+        stream, pad = self.padded(p.m + slack)
+        for j in range(a + 1, p.m):
+            o = rare[window, j]
+            term, place = p.windows[window, o], first + o + pad
+            met = stream[place] == term
+            for d in range(1, slack + 1):
+                met |= (stream[place - d] == term) | (stream[place + d] == term)
+            missed += ~met
+            keep = missed <= p.m - least
+            window, first, at, missed = window[keep], first[keep], at[keep], missed[keep]
+            if not len(window):
+                return window, first, at
+        words, one = np.unique(np.stack([window, first, self.document(at)]), axis=1, return_index=True)
+        window, first, at = window[one], first[one], at[one]
+        straight = stream[first[:, None] + np.arange(p.m) + pad] == p.windows[window]
+        keep = straight.sum(axis=1) >= least  # words at one alignment are in order
+        left = np.flatnonzero(~keep)
+        hits = self.hits(p.windows[window[left]], first[left], slack)
+        for low in range(slack + 1):  # alignments from low to low + slack
+            band = hits[:, :, low : low + slack + 1]
+            some = np.flatnonzero(~keep[left] & (band.any(axis=2).sum(axis=1) >= least))
+            keep[left[some]] = in_order(band[some]) >= least
+        return window[keep], first[keep], at[keep]
+
+    def padded(self, pad: int) -> tuple[np.ndarray, int]:
+        """The stream with ``pad`` places without a term at both ends."""
+        if getattr(self, "_pad", None) != pad:
+            self._pad, self._stream = pad, np.pad(self.terms, pad, constant_values=-1)
+        return self._stream, pad
+
+    def hits(self, words: np.ndarray, first: np.ndarray, slack: int, low=None, high=None) -> np.ndarray:
+        """Whether each word of a row (-2: none) stands at each place from -slack to slack of its alignment, between ``low`` and ``high``."""
+        place = first[:, None, None] + np.arange(words.shape[1])[None, :, None] + np.arange(-slack, slack + 1)[None, None, :]
+        inside = (place >= (0 if low is None else low[:, None, None])) & (place < (len(self.terms) if high is None else high[:, None, None]))
+        return inside & (self.terms[np.clip(place, 0, len(self.terms) - 1)] == words[:, :, None])
+
     def document(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, position, "right") - 1
 
 
+def in_order(hits: np.ndarray) -> np.ndarray:
+    """Most words met in order in each row of (row, word, alignment): the longest common subsequence within a band."""
+    rows, words, band = hits.shape
+    best = np.zeros((rows, band + 1), np.int32)  # the last column stays under what lies right of the band
+    for j in range(words):
+        new = best[:, :band] + hits[:, j]
+        np.maximum(new, best[:, 1:], out=new)
+        best[:, :band] = np.maximum.accumulate(new, axis=1)
+    return best[:, band - 1] if rows else np.zeros(0, np.int32)
+
+
+def longest_runs(hits: np.ndarray) -> np.ndarray:
+    """Longest run of consecutive words at one alignment in each row of (row, word, alignment)."""
+    run = np.zeros((hits.shape[0], hits.shape[2]), np.int32)
+    longest = np.zeros(hits.shape[0], np.int32)
+    for j in range(hits.shape[1]):
+        run = (run + 1) * hits[:, j]
+        longest = np.maximum(longest, run.max(axis=1))
+    return longest
+
+
+def leaked_near(shard: Shard, p: Passages, slack: int, least: int, cells: int = 20_000_000) -> dict[tuple[int, int], tuple[int, int]]:
+    """(document, passage) to (longest run, most words of the whole passage in order within ``slack`` places of an alignment), of every exact or near window."""
+    window, first, at = shard.near(p, slack, least)
+    out = {key: (run, 0) for key, (run, _) in leaked(shard, p, slack).items()}
+    if not len(window):
+        return out
+    found = np.unique(np.stack([p.owner[window], shard.document(at), first - p.offset[window]]), axis=1)
+    length = np.array([p.lengths[i] for i in found[0].tolist()])
+    found, length = found[:, np.argsort(length, kind="stable")], np.sort(length)
+    ends = np.append(shard.starts[1:], len(shard.terms))
+    lo = 0
+    while lo < len(length):
+        hi = lo + 1
+        while hi < len(length) and length[hi] <= 2 * length[lo] and (hi - lo + 1) * length[hi] * (2 * slack + 1) <= cells:
+            hi += 1
+        item, doc, base = found[:, lo:hi]
+        words = np.full((hi - lo, int(length[hi - 1])), -2, np.int32)
+        for k, i in enumerate(item.tolist()):
+            words[k, : p.lengths[i]] = p.words[i]
+        hits = shard.hits(words, base, slack, shard.starts[doc], ends[doc])
+        for d, i, run, near in zip(doc.tolist(), item.tolist(), longest_runs(hits).tolist(), in_order(hits).tolist()):
+            r, n = out.get((d, i), (0, 0))
+            out[d, i] = (max(r, run), max(n, near))
+        lo = hi
+    return out
+
+
 def leaked(shard: Shard, p: Passages, slack: int) -> dict[tuple[int, int], tuple[int, int]]:
     """(document, passage) to (longest run of the passage's words, passage words met in order within ``slack`` places)."""
     window, first = shard.find(p)
@@ -138,13 +251,20 @@ def find_leaks(
     item_text: str = "text",
     min_words: int = 12,
     slack: int = 8,
+    near: bool = False,
+    near_share: float = 0.75,
     chars: int = 8_000_000,
 ) -> DataFrame:
     """key, item, longest_run, near_words: the documents that hold ``min_words`` consecutive words of a passage.
 
-    ``longest_run`` is the exact phrase match; ``near_words`` the proximity match: passage words met within ``slack`` places
-    of the first match's alignment. ``chars``: characters of a shard.
+    ``longest_run`` is the exact phrase match; ``near_words`` are passage words met in exact windows within ``slack`` places
+    of the first match's alignment. With ``near``, documents that hold a passage by proximity only are returned too, ``near_words`` are
+    the most words of the passage met in order within ``slack`` places of one alignment, and ``kind`` is 'phrase' or 'near'.
+    ``chars``: characters of a shard.
     """
+    least = math.ceil(near_share * min_words - 1e-9)
+    if near and not 1 <= least <= min_words:
+        raise ValueError("near_share must be over 0 and at most 1")
     spark = documents.sparkSession
     q = items.where(F.col(item_text).isNotNull()).select(F.col(item).cast("bigint").alias("item"), F.col(item_text).alias("t"))
     total = q.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
@@ -168,8 +288,9 @@ def find_leaks(
                     while stop < len(texts) and seen < chars:
                         seen += len(texts[stop])
                         stop += 1
-                    for (d, i), (run_length, near) in leaked(Shard(texts[at:stop], p), p, slack).items():
-                        found.append((keys[at + d], i, run_length, near))
+                    shard = Shard(texts[at:stop], p, slack)
+                    for (d, i), (run_length, met) in (leaked_near(shard, p, slack, least) if near else leaked(shard, p, slack)).items():
+                        found.append((keys[at + d], i, run_length, met))
                     at = stop
                 if found:
                     k, i, r, n = zip(*found)
@@ -178,4 +299,5 @@ def find_leaks(
         hits = docs.mapInArrow(run, f"key {kind}, item bigint, longest_run int, near_words int")
         out = hits if out is None else out.unionByName(hits)
     merged = out.groupBy("key", "item").agg(F.max("longest_run").alias("longest_run"), F.max("near_words").alias("near_words"))
-    return merged.select(F.col("key").alias(key), F.col("item").alias(item), "longest_run", "near_words")
+    kinds = [F.when(F.col("longest_run") >= min_words, "phrase").otherwise("near").alias("kind")] if near else []
+    return merged.select(F.col("key").alias(key), F.col("item").alias(item), "longest_run", "near_words", *kinds)

@@ -100,13 +100,13 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the evaluation items they hold, with the longest run of words and the proximity match."""
-    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    """Documents and the evaluation items they hold as a phrase or by proximity, with the longest run of words and the words met in order."""
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"), near=True)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they leak."""
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+    return leaks.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

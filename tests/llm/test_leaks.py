@@ -57,3 +57,51 @@ def test_proximity_spans_an_inserted_word(spark):
 def test_no_match_across_documents(spark):
     w = [f"q{i}" for i in range(14)]
     assert found(spark, [(1, " ".join(w[:7])), (2, " ".join(w[7:]))], [(1, " ".join(w))]) == {}
+
+
+def near_brute(w, q, m, slack, least):
+    """Whether a window of q has ``least`` words in order in w, at alignments within ``slack`` of each other: full tables."""
+    for k in range(len(q) - m + 1):
+        for low in range(-m, len(w) + 1):
+            t = [[0] * (len(w) + 1) for _ in range(m + 1)]
+            for j in range(m):
+                for x in range(len(w)):
+                    met = w[x] == q[k + j] and low <= x - j <= low + slack
+                    t[j + 1][x + 1] = max(t[j][x + 1], t[j + 1][x], t[j][x] + met)
+            if t[m][len(w)] >= least:
+                return True
+    return False
+
+
+def test_near_finds_edited_passages(spark):
+    w = [f"q{i}" for i in range(36)]
+    changed = [x if i % 6 != 5 else "other" for i, x in enumerate(w)]
+    left_out = [x for i, x in enumerate(w) if i % 9 != 8]
+    added = [y for i, x in enumerate(w) for y in ([x, "more"] if i % 7 == 6 else [x])]
+    far = [y for x in w for y in [x, *["pad"] * 9]]
+    docs = [(1, " ".join(changed)), (2, " ".join(left_out)), (3, " ".join(added)), (4, " ".join(reversed(w))), (5, " ".join(w)), (6, " ".join(w[:8])), (7, " ".join(far)), (8, None), (9, "")]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, " ".join(w)), (2, None)], "item_id bigint, text string")
+    got = {r["doc_id"]: (r["kind"], r["longest_run"], r["near_words"]) for r in leaks.find_leaks(d, q, near=True).collect()}
+    assert got == {1: ("near", 5, 30), 2: ("near", 8, 32), 3: ("near", 7, 36), 5: ("phrase", 36, 36)}
+    assert set(found(spark, docs, [(1, " ".join(w))])) == {(5, 1)}
+
+
+def test_near_equals_brute_force_in_any_sharding(spark):
+    rng = random.Random(9)
+    words = [f"t{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randint(4, 16)))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        w = rng.choices(words, k=rng.randint(0, 25))
+        q = leaks.tokens(rng.choice(items)[1])
+        w[rng.randint(0, len(w)) : 0] = [y for x in q for y in rng.choice([[x], [x], [x], [x, "new"], ["new"], []])]
+        docs.append((d, " ".join(w)))
+    m, slack, least = 6, 2, 5
+    want = {(d, i) for d, t in docs for i, x in items if near_brute(leaks.tokens(t), leaks.tokens(x), m, slack, least)}
+    for chars in (8_000_000, 200):
+        d = spark.createDataFrame(docs, "doc_id bigint, text string")
+        q = spark.createDataFrame(items, "item_id bigint, text string")
+        got = {(r["doc_id"], r["item_id"]) for r in leaks.find_leaks(d, q, near=True, near_share=0.8, min_words=m, slack=slack, chars=chars).collect()}
+        assert got == want
+    assert 10 < len(want) < 600
