@@ -1,4 +1,4 @@
-"""Clusters of question labels: rules first, equal labels next, then leaders at a Jaccard similarity.
+"""Clusters of question labels: the ordered rules of ``functions.labels`` first, equal labels next, then leaders at a Jaccard similarity.
 
 Leader clustering depends on its order: groups by size (ties by first row), each joining the first leader that is similar enough. It is
 done within blocks of labels that share their rarest token with some leader candidate, which leaves its result as it is: two
@@ -13,6 +13,8 @@ from collections import defaultdict
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from postgrain.functions import labels as lb
+
 
 def leaders(groups: list[tuple[str, int, int]], threshold: float) -> dict[str, str]:
     """label to leader, for (label, size, first row)."""
@@ -56,3 +58,49 @@ def leader_clusters(labels: DataFrame, *, label: str, row: str, threshold: float
         return pd.DataFrame({"label": pdf["label"], "cluster": pdf["label"].map(m), "n": pdf["n"]})
 
     return g.groupBy(F.lit(1).alias("all")).applyInPandas(run, "label string, cluster string, n bigint")
+
+
+def question_clusters(rows: DataFrame, *, label: str, raw: str, kind: str, row: str, threshold: float = 0.8, max_labels: int = 200_000, minority: float = 0.1) -> DataFrame:
+    """label, cluster, how, n, reasons: the ordered rules first, then equal labels ('exact') and leaders ('similarity') of the rest.
+
+    ``cluster`` is the rule's key, or custom.<first words of the leader> with '_' added where an earlier cluster has it. ``reasons`` tell
+    why a cluster is to be reviewed: merged by overlap, claimed by a broad rule, kinds of answer that differ with at least ``minority``
+    each, more than one country. Null labels count as empty ones, which are one cluster."""
+    x = F.coalesce(F.col(label), F.lit("")).alias("label")
+    g = rows.groupBy(x, F.col(raw).alias("raw"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min(row).alias("first"))
+    each = g.groupBy("label").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("rule", lb.rule_key(F.col("label")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > max_labels:
+            raise ValueError("too many distinct labels for one greedy pass")
+        pdf = pdf.sort_values(["n", "first"], ascending=[False, True])
+        m = leaders(list(pdf[["label", "n", "first"]].itertuples(index=False, name=None)), threshold)
+        size = pdf["label"].map(m).value_counts()
+        names, taken = {}, set()
+        for head in pdf["label"]:
+            if m[head] == head:
+                key = "custom." + ("_".join(head.split()[:6])[:60] or "unlabelled")
+                while key in taken:
+                    key += "_"
+                taken.add(key)
+                names[head] = key
+        head = pdf["label"].map(m)
+        return pd.DataFrame({"label": pdf["label"], "cluster": head.map(names), "how": ["similarity" if size[h] > 1 else "exact" for h in head], "broad": False, "n": pdf["n"]})
+
+    schema = "label string, cluster string, how string, broad boolean, n bigint"
+    loose = each.where("rule is null").select("label", "n", "first").groupBy(F.lit(1).alias("all")).applyInPandas(run, schema)
+    ruled = each.where("rule is not null").select("label", F.col("rule.key").alias("cluster"), F.lit("rule").alias("how"), F.col("rule.broad").alias("broad"), "n")
+    named = ruled.unionByName(loose)
+
+    full = g.join(named.select("label", "cluster"), "label")
+    families = full.groupBy("cluster", lb.family(F.col("kind")).alias("family")).agg(F.sum("n").alias("n")).groupBy("cluster").agg(F.min("n").alias("least"), F.sum("n").alias("all"), F.count("*").alias("families"), F.array_sort(F.collect_list(F.concat_ws(" ", "family", "n"))).alias("kinds"))
+    raws = full.groupBy("cluster").agg(F.countDistinct(F.coalesce("raw", F.lit(""))).alias("phrasings"))
+    seen = named.withColumn("c", F.explode_outer(lb.countries_in(F.col("label")))).groupBy("cluster").agg(F.first("how").alias("h"), F.first("broad").alias("b"), F.countDistinct("label").alias("labels"), F.array_sort(F.collect_set("c")).alias("countries"))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("h") == "similarity", F.format_string("merged %d different phrasings by word overlap", "phrasings")),
+        F.when(F.col("b") & (F.col("labels") > 1), "claimed by a broad rule; check every phrasing belongs"),
+        F.when((F.col("families") > 1) & (F.col("least") >= F.col("all") * minority), F.concat(F.lit("answer kinds differ: "), F.array_join("kinds", ", "))),
+        F.when(F.size("countries") > 1, F.concat(F.lit("phrasings name different countries: "), F.array_join("countries", ", "))),
+    ))
+    why = seen.join(raws, "cluster").join(families, "cluster").select("cluster", reasons.alias("reasons"))
+    return named.join(why, "cluster").select("label", "cluster", "how", "n", "reasons")

@@ -121,8 +121,8 @@ def years_and_months(t: Tables) -> DataFrame:
 
 @query()
 def leader_clusters(t: Tables) -> DataFrame:
-    q = t.form_question.select("id", tx.label_key(F.col("raw_label")).alias("k"))
-    return cluster.leader_clusters(q, label="k", row="id")
+    q = t.form_question.select("id", "raw_label", "field_type", tx.label_key(F.col("raw_label")).alias("k"))
+    return cluster.question_clusters(q, label="k", raw="raw_label", kind="field_type", row="id")
 
 
 @query("""SELECT q.vec_id AS query, arg_max(r.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], r.embedding::DOUBLE[]), 9) * 1e12 - r.vec_id) AS key FROM embeddings q JOIN embeddings r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1""")
