@@ -12,7 +12,7 @@ probability 0.990, at 0.6 0.998, at 0.5 0.955. Identical texts are one class fir
 travel packed, one binary row for each (batch, slice of the key space), and with them a sketch of 96 coordinates at 2
 bits. Equal keys are found by sorting a slice in memory. Slices are as many as the data asks for (a target of keys each).
 Within a run of equal keys the sketch drops pairs far below the threshold, without reading any text: the threshold on agreeing sketch
-coordinates is three standard deviations below what a pair at the similarity threshold has (it keeps 0.9987 of such pairs, more above).
+coordinates is four standard deviations below what a pair at the similarity threshold has (it keeps 0.99997 of such pairs, more above).
 
 Long runs (over ``block`` classes with one key) are not paired in place: their members go out as rows keyed by pairs of
 blocks, spread over tasks, and every block pair is compared there, so a hot key is never one task's work and no pair is lost.
@@ -217,7 +217,7 @@ def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return SKETCH - np.bitwise_count(x).sum(1).astype(np.int64)
 
 
-def least_agreeing(threshold: float, deviations: float = 3.0) -> int:
+def least_agreeing(threshold: float, deviations: float = 4.0) -> int:
     """Coordinates in which a pair at the threshold agrees at least, up to so many standard deviations."""
     p = threshold + (1 - threshold) / 4
     return int(np.floor(SKETCH * p - deviations * np.sqrt(SKETCH * p * (1 - p))))

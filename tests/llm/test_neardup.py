@@ -92,3 +92,11 @@ def test_signature_does_not_depend_on_the_batch():
     together = nd.signatures(owner, np.concatenate(sets), 5, 64)
     for k, s in enumerate(sets):
         assert (nd.signatures(np.zeros(len(s), np.int64), s, 1, 64)[0] == together[k]).all()
+
+
+def test_sketch_keeps_pairs_at_the_threshold():
+    from math import comb
+
+    p, least = 0.5 + 0.5 / 4, nd.least_agreeing(0.5)
+    lost = sum(comb(nd.SKETCH, k) * p**k * (1 - p) ** (nd.SKETCH - k) for k in range(least))
+    assert lost < 5e-5
