@@ -77,13 +77,24 @@ def distance(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
+PARTS = re.compile(r"\s[–—-]\s|[:/|()\[\]]|\.\s")
+RAREST = 1e-4  # share of rows below which tokens weigh alike
+
+
 class Reference:
-    """The reference list: written names of entries, their vocabulary and weights."""
+    """The reference list: written names of entries, their vocabulary and weights.
+
+    A token weighs by its rarity among the names. Where ``shares`` (token to its share of the column's rows) is given, that counts
+    too, an unknown token counts by it, and a token that no edit explains may stand for one with a common stem; ``remarks``: parts of values
+    to leave out."""
 
-    def __init__(self, names: Iterable[tuple[str, str]], ignore: frozenset[str] = frozenset(), decoration: str = "", segments: str = "", threshold: float = 0.72):
+    def __init__(
+        self, names: Iterable[tuple[str, str]], ignore: frozenset[str] = frozenset(), decoration: str = "", segments: str = "", threshold: float = 0.72,
+        shares: dict[str, float] | None = None, remarks: frozenset[str] = frozenset(), stem: float = 0.4, unknown: float = 0.8,
+    ):
         self.decoration = re.compile(decoration, re.I) if decoration else None
         self.segments = re.compile(segments) if segments else None
-        self.ignore, self.threshold = ignore, threshold
+        self.ignore, self.threshold, self.shares, self.remarks, self.stem = ignore, threshold, shares, remarks, stem
         entries = sorted({(k, tuple(sorted(set(tokens(self.strip(n)))))) for k, n in names if n})
         self.entries = [e for e in entries if e[1]]
         df: dict[str, int] = defaultdict(int)
@@ -93,6 +104,9 @@ class Reference:
         n = len(self.entries)
         self.idf = {t: math.log(1 + n / c) for t, c in df.items()}
         self.unknown = math.log(1 + n)
+        if shares is not None:
+            self.idf = {t: (w / self.unknown) ** 0.6 * self.rarity(t) for t, w in self.idf.items()}
+            self.unknown = math.sqrt(unknown)
         self.by_token: dict[str, list[int]] = defaultdict(list)
         self.norm = []
         for e, (_, ts) in enumerate(self.entries):
@@ -100,13 +114,24 @@ class Reference:
             for t in ts:
                 self.by_token[t].append(e)
         self.deleted: dict[str, list[str]] = defaultdict(list)
+        self.begins: dict[str, list[str]] = defaultdict(list)
         for t in df:
             for x in deletions(t, allowed(len(t))):
                 self.deleted[x].append(t)
+            if len(t) >= 4:
+                self.begins[t[:4]].append(t)
         self.repaired: dict[str, list[tuple[str, float]]] = {}
 
+    def rarity(self, token: str) -> float:
+        """Weight of a token by its share of the column's rows, at most 1."""
+        return (math.log(1 + 1 / max(self.shares.get(token, 0.0), RAREST)) / math.log(1 + 1 / RAREST)) ** 0.4
+
     def strip(self, value: str) -> str:
-        return self.decoration.sub(" ", value) if self.decoration else value
+        if self.decoration:
+            value = self.decoration.sub(" ", value)
+        if self.remarks:
+            value = " . ".join(x for x in PARTS.split(value) if " ".join(tokens(x)) not in self.remarks)
+        return value
 
     def repair(self, token: str) -> list[tuple[str, float]]:
         """Vocabulary tokens nearest to the token, with their similarity."""
@@ -125,11 +150,41 @@ class Reference:
                         if d < best:
                             best, r = d, []
                         r.append((t, 1 - d / max(len(t), len(token))))
+            if not r and self.shares is not None:
+                r = self.stems(token)
         if len(self.repaired) > 500_000:
             self.repaired.clear()
         self.repaired[token] = r
         return r
 
+    def stems(self, token: str) -> list[tuple[str, float]]:
+        """Vocabulary tokens with the longest common beginning, if it is at least ``stem`` of the longer word."""
+        best, r = self.stem - 1e-9, []
+        for t in sorted(self.begins.get(token[:4], ()) if len(token) >= 4 else ()):
+            k, n = 4, max(len(t), len(token))
+            while k < min(len(t), len(token)) and t[k] == token[k]:
+                k += 1
+            if k / n > best + 1e-9:
+                best, r = k / n, []
+            if abs(k / n - best) <= 1e-9:
+                r.append((t, k / n))
+        return r
+
+    def split(self, ts: list[str]) -> list[str]:
+        """Two tokens that the vocabulary writes as one joined, one that it writes as two taken apart."""
+        out, k = [], 0
+        while k < len(ts):
+            t = ts[k]
+            if k + 1 < len(ts) and t + ts[k + 1] in self.idf:
+                out.append(t + ts[k + 1])
+                k += 1
+            elif t not in self.idf and (j := next((j for j in range(3, min(len(t), 40) - 2) if t[:j] in self.idf and t[j:] in self.idf), 0)):
+                out += [t[:j], t[j:]]
+            else:
+                out.append(t)
+            k += 1
+        return out
+
     def score(self, ts: list[str]) -> tuple[float, str]:
         """The best entry for the tokens."""
         got: dict[int, dict[str, float]] = defaultdict(dict)
@@ -137,7 +192,8 @@ class Reference:
         for t in dict.fromkeys(ts):
             near = self.repair(t)
             if not near:
-                square += (0.3 * self.unknown if t in self.ignore else self.unknown) ** 2
+                w = self.unknown if self.shares is None else self.unknown * self.rarity(t)
+                square += (0.3 * w if t in self.ignore else w) ** 2
                 continue
             square += max(self.idf[c] for c, _ in near) ** 2
             for c, s in near:
@@ -158,7 +214,7 @@ class Reference:
             tries += parts
         best = (0.0, NONE)
         for t in tries:
-            ts = tokens(t)
+            ts = tokens(t) if self.shares is None else self.split(tokens(t))
             kept = [x for x in ts if x not in self.ignore and not x.isdigit()] if self.segments else ts
             for option in (ts, kept) if kept != ts else (ts,):
                 if option:
@@ -168,17 +224,26 @@ class Reference:
         return (best[1], best[0]) if best[0] >= self.threshold else (NONE, best[0])
 
 
-def map_to_list(
-    df: DataFrame, names: DataFrame, *, key: str, value: str, ignore: Iterable[str] = (), decoration: str = "", segments: str = "", threshold: float = 0.72, remember: int = 200_000
-) -> DataFrame:
-    """row_id, ref_key, score: one row for each value that is neither null nor empty. ``names``: ref_key STRING, name STRING."""
-    listed = [tuple(r) for r in names.select(F.col("ref_key").cast("string"), "name").limit(MAX_REFERENCE_ROWS + 1).collect()]
-    if len(listed) > MAX_REFERENCE_ROWS:
+def listed(names: DataFrame) -> list[tuple[str, str]]:
+    """The reference list (ref_key, name), after a check of its size."""
+    rows = [tuple(r) for r in names.select(F.col("ref_key").cast("string"), "name").limit(MAX_REFERENCE_ROWS + 1).collect()]
+    if len(rows) > MAX_REFERENCE_ROWS:
         raise ValueError("the reference list is too large to broadcast")
-    shared = df.sparkSession.sparkContext.broadcast((listed, frozenset(ignore), decoration, segments, threshold))
+    return rows
+
+
+def vocabulary(rows: list[tuple[str, str]], decoration: str = "") -> frozenset[str]:
+    """Tokens of the list's names."""
+    pattern = re.compile(decoration, re.I) if decoration else None
+    return frozenset(t for _, n in rows if n for t in tokens(pattern.sub(" ", n) if pattern else n))
+
+
+def map_to_list(df: DataFrame, names: DataFrame, *, key: str, value: str, remember: int = 200_000, **how) -> DataFrame:
+    """row_id, ref_key, score: one row for each value that is neither null nor empty. ``names``: ref_key STRING, name STRING; ``how``: as for ``Reference``."""
+    shared = df.sparkSession.sparkContext.broadcast((listed(names), how))
 
     def run(batches):
-        ref = Reference(*shared.value)
+        ref = Reference(shared.value[0], **shared.value[1])
         known: dict[str, tuple[str, float]] = {}
         for b in batches:
             keys, scores = [], []

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postgrain.llm import canonical, encode as bpe, leaks, matching, neardup, reading, survivors
+from postgrain.llm import canonical, encode as bpe, leaks, matching, neardup, reading, survivors, wordings
 from postgrain.llm.oracles import ORACLES
-from postgrain.llm.phrases import PHRASES
-from postgrain.llm.roles import COMPANY_WORDS, ROLES, TITLE_WORDS
 from postgrain.session import table
 
 
@@ -43,34 +41,48 @@ def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes_with_links(*_near(spark, sf_dir)).select(F.col("key").alias("job_id"), F.col("class_key").alias("class_job_id"), "copies", "links")
 
 
-# Words and remarks around a place or a question that are no part of it.
-PLACE_WORDS = "central greater district area metro city sector phase floor block old new north south east west region town near nr off opp at".split()
+# Syntax around names: brackets, numbering of questions, signs between parts of a place.
 REMARKS = r"\([^)]*\)|\[[^\]]*\]"
-QUESTION_REMARKS = REMARKS + r"|^\s*(?:q(?:uestion)?\s*)?\d{1,3}\s*[.):]\s+|^\s*please tell us\s*:?|\s[–—-]\s.*$|/\s*leave blank.*$"
+SEGMENTS = r"[,;|/:]|\s[-–—]\s"
+NUMBERING = r"|^\W*(?:\w+\s*)?\d{1,3}\s*[.):]\s+"
 
 
-def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _city_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     cities = table(spark, sf_dir, "city_ref")
-    names = cities.select(F.col("city_id").cast("string").alias("ref_key"), F.explode(F.concat(F.array("city"), F.coalesce("other_names", F.array().cast("array<string>")))).alias("name"))
-    questions = table(spark, sf_dir, "question_ref")
-    more = spark.createDataFrame([(k, p) for k, ps in PHRASES.items() for p in ps], "ref_key string, name string")
-    known = questions.select(F.col("canonical_key").alias("ref_key"))
-    wordings = questions.select(F.col("canonical_key").alias("ref_key"), F.explode(F.array("label", "sample_phrasing")).alias("name")).unionByName(more.join(known, "ref_key", "left_semi"))
-    city = canonical.map_to_list(table(spark, sf_dir, "jobs"), names, key="id", value="city", ignore=PLACE_WORDS, decoration=REMARKS, segments=r"[,;|/]|\s[-–—]\s", threshold=0.38)
-    label = canonical.map_to_list(table(spark, sf_dir, "form_question"), wordings, key="id", value="raw_label", decoration=QUESTION_REMARKS, threshold=0.5)
+    return cities.select(F.col("city_id").cast("string").alias("ref_key"), F.explode(F.concat(F.array("city"), F.coalesce("other_names", F.array().cast("array<string>")))).alias("name"))
+
+
+def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    jobs, names = table(spark, sf_dir, "jobs"), _city_names(spark, sf_dir)
+    noise = wordings.noise_tokens(jobs, "city", canonical.vocabulary(canonical.listed(names), REMARKS))
+    return canonical.map_to_list(jobs, names, key="id", value="city", ignore=noise, decoration=REMARKS, segments=SEGMENTS, threshold=0.38)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, ref = table(spark, sf_dir, "form_question"), table(spark, sf_dir, "question_ref")
+    both = F.concat_ws(" ", "label", "sample_phrasing")
+    names = ref.select(F.col("canonical_key").alias("ref_key"), F.explode(F.array("label", "sample_phrasing", both)).alias("name"))
+    rows = wordings.distinct_tokens(asked, "raw_label")
+    shares = wordings.shares(rows)
+    return canonical.map_to_list(asked, names, key="id", value="raw_label", decoration=REMARKS + NUMBERING, remarks=wordings.remarks(asked, "raw_label"), shares=shares, threshold=0.28)
+
+
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    city, label = _cities(spark, sf_dir), _labels(spark, sf_dir)
     return city.select(F.lit("city").alias("field"), "row_id", "ref_key", "score").unionByName(label.select(F.lit("raw_label").alias("field"), "row_id", "ref_key", "score"))
 
 
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs and listings that mean the same opening, with the calibrated confidence."""
-    cities = [(str(r[0]), n) for r in table(spark, sf_dir, "city_ref").select("city_id", "city", "other_names").collect() for n in [r[1], *(r[2] or [])]]
-    args = {
-        "roles": [(g[0], n) for g in ROLES for n in g], "role_words": TITLE_WORDS, "company_words": COMPANY_WORDS,
-        "cities": {"names": cities, "ignore": frozenset(PLACE_WORDS), "decoration": REMARKS, "segments": r"[,;|/:]|\s[-–—]\s", "threshold": 0.38},
-    }
-    jobs = matching.profiles(table(spark, sf_dir, "jobs"), key="id", title="title", company="company", places=["location", "city"], **args)
-    listings = matching.profiles(table(spark, sf_dir, "board_listings"), key="listing_id", title="title", company="company", places=["location"], **args)
-    m = matching.match(jobs, listings)
+    jobs, listings = table(spark, sf_dir, "jobs"), table(spark, sf_dir, "board_listings")
+    cities = canonical.listed(_city_names(spark, sf_dir))
+    known = canonical.vocabulary(cities, REMARKS)
+    noise = wordings.noise_tokens(jobs.select(F.col("location").alias("v")).unionByName(listings.select(F.col("location").alias("v"))), "v", known)
+    learned = matching.learn((jobs, "title", "company"), (listings, "title", "company"))
+    args = {"names": cities, "ignore": noise, "decoration": REMARKS, "segments": SEGMENTS, "threshold": 0.38}
+    left = matching.profiles(jobs, learned, key="id", title="title", company="company", places=["location", "city"], cities=args)
+    right = matching.profiles(listings, learned, key="listing_id", title="title", company="company", places=["location"], cities=args)
+    m = matching.match(left, right, learned["counts"])
     return m.select(F.col("left_key").alias("job_id"), F.col("right_key").alias("listing_id"), F.round("confidence", 6).alias("confidence"))
 
 
