@@ -1,18 +1,22 @@
 """Evaluation passages inside training documents, by a positional inverted index over shards of documents.
 
-The index is partitioned by document: each task tokenises its documents, stores the postings (term, position) of its shard
-and answers every test passage on it, so postings are never shuffled and no document meets another. A window of
-``min_words`` consecutive test words is matched by taking the posting list of its rarest term in the shard, adjusted by the
-term's offset, and intersecting it with the offset-adjusted lists of the next rarest terms, then of all others. Only
-terms that occur in some test passage get postings; nothing else can match.
+The index is partitioned by document: each task stores the postings of its shard's documents and answers every test passage on it, so
+postings are never shuffled and no document meets another.
+
+Exact phrases. Words count as letters and digits only, wherever spaces, hyphens or line ends break or join them. So the text is squeezed
+to its letters and digits, and the terms of the index are its grams of ``gram`` characters with their places (a power of two, at most
+16 and at most half of the shortest window of ``min_words`` words). Only grams of test passages get postings; nothing else can match.
+A window of ``min_words`` consecutive test words takes the posting list of its rarest gram in the shard, adjusted by the gram's
+offset, and intersects it with the offset-adjusted lists of its other grams, the rarest first. What is left is compared
+character by character, and whole words within the common run are counted.
 
 A proximity match (``near``) is a window of ``min_words`` passage words of which a share of at least ``near_share`` stands in the document
 in the passage's order, with alignments that differ by at most ``slack`` places; so words changed, left out or put in don't hide a
-passage. With ``k`` words to be met, one of the ``min_words - k + 1`` rarest of the window is met: their offset-adjusted postings are
-intersected with those of the other terms with a tolerance of ``slack``, dropped as soon as too many are missed, and what is left is
-decided exactly.
+passage. Its terms are words. With ``k`` words to be met, one of the ``min_words - k + 1`` rarest of the window is met: their
+offset-adjusted postings are intersected with those of the other terms with a tolerance of ``slack``, dropped as soon as too many are
+missed, and what is left is decided exactly.
 
-Words are runs of letters and digits, lower-cased, after compatibility normalisation and removal of invisible characters and
+Words of a passage are runs of letters and digits, lower-cased, after compatibility normalisation and removal of invisible characters and
 combining marks; so case, spacing, punctuation, line breaks and invisible characters don't count.
 
 The test passages are broadcast; their table is checked against ``MAX_ITEMS_BYTES`` first and read in blocks of passages
@@ -36,14 +40,33 @@ from pyspark.sql import DataFrame, functions as F
 
 MAX_ITEMS_BYTES = 32_000_000
 _WORDS = re.compile(r"[^\W_]+").findall
+_OTHER = re.compile(r"[\W_]+")
 _INVISIBLE = regex.compile(r"[\p{Cf}\p{Mn}]+")
 
 
+def plain(text: str) -> str:
+    """Lower case in compatibility form without invisible characters."""
+    return (text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))).lower()
+
+
 def tokens(text: str) -> list[str]:
     """The text's words."""
-    if not text.isascii():
-        text = _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    return _WORDS(text.lower())
+    return _WORDS(plain(text))
+
+
+def squeezed(text: str) -> np.ndarray:
+    """Code points of the text's letters and digits."""
+    return np.frombuffer(_OTHER.sub("", plain(text)).encode("utf-32-le", "replace"), np.uint32)
+
+
+def gram_hashes(chars: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` (a power of two) characters from each place on."""
+    h, n, base = chars.astype(np.uint64), 1, 0x9E3779B97F4A7C15
+    while n < size and len(h):
+        h = h[:-n] * np.uint64(base) + h[n:]
+        h ^= h >> np.uint64(29)
+        n, base = 2 * n, base * base % (1 << 64) | 1
+    return h[: max(0, len(chars) - size + 1)]
 
 
 class Passages:
@@ -84,29 +107,6 @@ class Shard:
         self.df = np.bincount(self.terms[at], minlength=len(passages.vocabulary))
         self.begin = np.cumsum(self.df) - self.df
 
-    def find(self, p: Passages) -> tuple[np.ndarray, np.ndarray]:
-        """(window, position of its first word in the stream) of every exact match."""
-        none = np.zeros(0, np.int64)
-        if not len(p.windows) or not len(self.positions):
-            return none, none
-        rare = np.argsort(self.df[p.windows], axis=1, kind="stable")
-        term = np.take_along_axis(p.windows, rare[:, :1], 1)[:, 0]
-        n = self.df[term]
-        live = np.flatnonzero(n > 0)
-        n = n[live]
-        window = np.repeat(live, n)
-        within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        first = self.positions[self.begin[term[window]] + within] - rare[window, 0]
-        keep = (first >= 0) & (first + p.m <= len(self.terms))
-        window, first = window[keep], first[keep]
-        for j in range(1, p.m):
-            o = rare[window, j]
-            keep = self.terms[first + o] == p.windows[window, o]
-            window, first = window[keep], first[keep]
-            if not len(window):
-                break
-        return window, first
-
     def near(self, p: Passages, slack: int, least: int, block: int = 2_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, place of its first word by the alignment of a word met, place of that word) where ``least`` words are met in order."""
         none = np.zeros(0, np.int64)
@@ -190,10 +190,10 @@ def longest_runs(hits: np.ndarray) -> np.ndarray:
     return longest
 
 
-def leaked_near(shard: Shard, p: Passages, slack: int, least: int, cells: int = 20_000_000) -> dict[tuple[int, int], tuple[int, int]]:
+def leaked_near(shard: Shard, p: Passages, exact: dict[tuple[int, int], tuple[int, int]], slack: int, least: int, cells: int = 20_000_000) -> dict[tuple[int, int], tuple[int, int]]:
     """(document, passage) to (longest run, most words of the whole passage in order within ``slack`` places of an alignment), of every exact or near window."""
     window, first, at = shard.near(p, slack, least)
-    out = {key: (run, 0) for key, (run, _) in leaked(shard, p, slack).items()}
+    out = dict(exact)
     if not len(window):
         return out
     found = np.unique(np.stack([p.owner[window], shard.document(at), first - p.offset[window]]), axis=1)
@@ -217,28 +217,93 @@ def leaked_near(shard: Shard, p: Passages, slack: int, least: int, cells: int =
     return out
 
 
-def leaked(shard: Shard, p: Passages, slack: int) -> dict[tuple[int, int], tuple[int, int]]:
-    """(document, passage) to (longest run of the passage's words, passage words met in order within ``slack`` places)."""
-    window, first = shard.find(p)
-    doc, item, off = shard.document(first), p.owner[window], p.offset[window]
-    runs: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for d, i, f, o in zip(doc.tolist(), item.tolist(), first.tolist(), off.tolist()):
-        runs[d, i].append((f - o, o))
-    out = {}
-    for key, met in runs.items():
-        met.sort()
-        longest = run = 0
-        last = None
-        for diagonal, o in met:
-            run = run + 1 if last == (diagonal, o - 1) else 1
-            longest, last = max(longest, run), (diagonal, o)
-        covered: set[int] = set()
-        base = met[0][0]
-        for diagonal, o in met:
-            if abs(diagonal - base) <= slack:
-                covered.update(range(o, o + p.m))
-        out[key] = (longest + p.m - 1, len(covered))
-    return out
+class Squeezed:
+    """Test passages as characters, their grams as terms, and all their windows of ``min_words`` words as places of characters."""
+
+    def __init__(self, items: list[tuple[int, str | None]], min_words: int):
+        self.m = min_words
+        self.chars, self.starts, windows = [], [], []
+        at = 0
+        for item, text in items:
+            ws = tokens(text or "")
+            if len(ws) < min_words:
+                continue
+            c = squeezed(text)
+            ends = np.cumsum([len(w) for w in ws])
+            begins = ends - np.array([len(w) for w in ws])
+            windows += [(item, at, at + len(c), at + int(begins[k]), at + int(ends[k + min_words - 1])) for k in range(len(ws) - min_words + 1)]
+            self.chars.append(c)
+            self.starts.append((item, at + begins, at + ends))
+            at += len(c)
+        self.chars = np.concatenate(self.chars) if self.chars else np.zeros(0, np.uint32)
+        self.windows = np.array(windows, np.int64).reshape(-1, 5)
+        shortest = int((self.windows[:, 4] - self.windows[:, 3]).min()) if len(windows) else 2
+        self.gram = 1 << min(4, max(0, int(math.log2(max(1, shortest // 2)))))
+        h = gram_hashes(self.chars, self.gram)
+        self.terms, self.term_at = np.unique(h, return_inverse=True)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.terms >> np.uint64(44)).astype(np.int64)] = True
+        self.words = {item: (b, e) for item, b, e in self.starts}
+        # grams of each window: from its first to its last place, spread evenly, four of them
+        b, e = self.windows[:, 3], self.windows[:, 4] - self.gram
+        self.places = (b[:, None] + (e - b)[:, None] * np.arange(4)[None, :] // 3).astype(np.int64)
+
+
+def leaked(texts: list[str | None], q: Squeezed) -> dict[tuple[int, int], tuple[int, int]]:
+    """(document, passage) to (longest run of the passage's words, words within runs of at least ``min_words``)."""
+    gap = np.zeros(1, np.uint32)  # no letter: no match crosses documents
+    parts, starts, at = [gap], np.zeros(len(texts), np.int64), 1
+    for k, t in enumerate(texts):
+        starts[k] = at
+        if t:
+            c = squeezed(t)
+            parts += [c, gap]
+            at += len(c) + 1
+    stream = np.concatenate(parts)
+    if not len(q.windows):
+        return {}
+    h = gram_hashes(stream, q.gram)
+    some = np.flatnonzero(q.bits[(h >> np.uint64(44)).astype(np.int64)])
+    term = np.searchsorted(q.terms, h[some])
+    term[term == len(q.terms)] = 0
+    hit = q.terms[term] == h[some]
+    position, term = some[hit], term[hit]
+    order = np.argsort(term, kind="stable")
+    postings, df = position[order], np.bincount(term, minlength=len(q.terms))
+    begin = np.cumsum(df) - df
+    # the rarest gram of each window; its postings, adjusted to the first character of all passages; windows of one gram together
+    rare = np.argsort(df[q.term_at[q.places]], axis=1, kind="stable")
+    places = np.take_along_axis(q.places, rare, 1)
+    live = np.flatnonzero(df[q.term_at[places[:, 0]]] > 0)
+    seeds = places[live]
+    n = df[q.term_at[seeds[:, 0]]]
+    which = np.repeat(live, n)
+    within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    shift = postings[begin[q.term_at[places[which, 0]]] + within] - places[which, 0]
+    key = np.sort(term.astype(np.int64) * (len(stream) + 1) + position)  # every posting as one number
+    for j in range(1, places.shape[1]):  # the offset-adjusted lists of the other grams
+        want = q.term_at[places[which, j]].astype(np.int64) * (len(stream) + 1) + shift + places[which, j]
+        found = np.searchsorted(key, want)
+        keep = (found < len(key)) & (key[np.minimum(found, len(key) - 1)] == want) if len(key) else np.zeros(len(want), bool)
+        which, shift = which[keep], shift[keep]
+    out: dict[tuple[int, int], tuple[int, int]] = {}
+    if not len(which):
+        return out
+    covered: dict[tuple[int, int], set[int]] = defaultdict(set)
+    row = q.windows[which]
+    for item, lo, hi, s in np.unique(np.stack([row[:, 0], row[:, 1], row[:, 2], shift]), axis=1).T.tolist():
+        a, b = max(lo, -s), min(hi, len(stream) - s)
+        same = stream[a + s : b + s] == q.chars[a:b]
+        bad = np.concatenate([[-1], np.flatnonzero(~same), [b - a]])
+        first, last = q.words[item]
+        for i in np.flatnonzero(np.diff(bad) > q.gram):  # runs of common characters
+            x, y = a + int(bad[i]) + 1, a + int(bad[i + 1])
+            w0, w1 = int(np.searchsorted(first, x)), int(np.searchsorted(last, y, "right"))
+            if w1 - w0 >= q.m:
+                d = int(np.searchsorted(starts, x + s, "right")) - 1
+                covered[d, item].update(range(w0, w1))
+                out[d, item] = (max(out.get((d, item), (0, 0))[0], w1 - w0), 0)
+    return {k: (r, len(covered[k])) for k, (r, _) in out.items()}
 
 
 def find_leaks(
@@ -253,12 +318,11 @@ def find_leaks(
     slack: int = 8,
     near: bool = False,
     near_share: float = 0.75,
-    chars: int = 8_000_000,
+    chars: int = 2_000_000,
 ) -> DataFrame:
     """key, item, longest_run, near_words: the documents that hold ``min_words`` consecutive words of a passage.
 
-    ``longest_run`` is the exact phrase match; ``near_words`` are passage words met in exact windows within ``slack`` places
-    of the first match's alignment. With ``near``, documents that hold a passage by proximity only are returned too, ``near_words`` are
+    ``longest_run`` is the exact phrase match; ``near_words`` are passage words within exact matches. With ``near``, documents that hold a passage by proximity only are returned too, ``near_words`` are
     the most words of the passage met in order within ``slack`` places of one alignment, and ``kind`` is 'phrase' or 'near'.
     ``chars``: characters of a shard.
     """
@@ -277,7 +341,7 @@ def find_leaks(
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in part.collect()])
 
         def run(batches, shared=shared):
-            p = Passages(shared.value, min_words)
+            q, p = Squeezed(shared.value, min_words), Passages(shared.value, min_words) if near else None
             for b in batches:
                 keys = b.column(0).to_pylist()
                 texts = b.column(1).to_pylist()
@@ -286,10 +350,10 @@ def find_leaks(
                 while at < len(texts):
                     stop, seen = at, 0
                     while stop < len(texts) and seen < chars:
-                        seen += len(texts[stop])
+                        seen += len(texts[stop]) if texts[stop] else 0
                         stop += 1
-                    shard = Shard(texts[at:stop], p, slack)
-                    for (d, i), (run_length, met) in (leaked_near(shard, p, slack, least) if near else leaked(shard, p, slack)).items():
+                    exact = leaked(texts[at:stop], q)
+                    for (d, i), (run_length, met) in (leaked_near(Shard(texts[at:stop], p, slack), p, exact, slack, least) if near else exact).items():
                         found.append((keys[at + d], i, run_length, met))
                     at = stop
                 if found:

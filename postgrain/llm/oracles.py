@@ -37,10 +37,9 @@ SELECT x AS job_id_a, y AS job_id_b FROM p JOIN n n1 ON n1.id = x JOIN n n2 ON n
 
 _P8 = """
 WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items),
-iw AS (SELECT DISTINCT item_id, array_to_string(ws[k : k + 11], ' ') AS g FROM q, LATERAL (SELECT unnest(range(1, len(ws) - 10)) AS k) WHERE len(ws) >= 12),
-d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '[\\x{00AD}\\x{200B}-\\x{200F}\\x{2060}-\\x{2064}\\x{FEFF}]', '', 'g')), '[\\p{L}\\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
-dw AS (SELECT doc_id, array_to_string(ws[k : k + 11], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, len(ws) - 10)) AS k) WHERE len(ws) >= 12)
-SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
+iw AS (SELECT DISTINCT item_id, array_to_string(ws[k : k + 11], '') AS g FROM q, LATERAL (SELECT unnest(range(1, len(ws) - 10)) AS k) WHERE len(ws) >= 12),
+d AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS s FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT doc_id, item_id FROM d JOIN iw ON contains(s, g)
 """
 
 _P6 = """

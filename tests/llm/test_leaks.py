@@ -2,7 +2,7 @@ import random
 
 from postgrain.llm import leaks
 
-WORDS = [f"term{i}" for i in range(60)] + ["the", "of", "a"]
+WORDS = [f"term{i:02d}" for i in range(60)] + ["the", "of", "a"]
 
 
 def brute(docs, items, m):
@@ -54,6 +54,31 @@ def test_proximity_spans_an_inserted_word(spark):
     assert found(spark, [(1, doc)], [(1, " ".join(w))]) == {(1, 1): (16, 30)}
 
 
+def test_words_broken_and_joined(spark):
+    q = "Suppose an intern in Aldersea is told to profile a archive browser within seven weeks"
+    docs = [(1, q.replace("intern", "int ern")), (2, q.replace(" ", "")), (3, " ".join(q)), (4, "lead" + q.replace("in Aldersea", "inAldersea")), (5, q.replace("archive", "arch-\nive") + "tail"), (6, q.replace("told", "to other ld"))]
+    got = found(spark, docs, [(1, q)])
+    assert {d for d, _ in got} == {1, 2, 3, 4, 5} and all(v == (15, 15) for v in got.values())
+
+
+def test_squeezed_phrases_equal_brute_force(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.randint(8, 40)))) for i in range(25)]
+    docs = []
+    for d in range(150):
+        w = leaks.tokens(rng.choice(items)[1])
+        a = rng.randrange(len(w))
+        text = " ".join(rng.choices(WORDS, k=rng.randint(0, 30)) + w[a : a + rng.randint(8, 30)] + rng.choices(WORDS, k=rng.randint(0, 30)))
+        docs.append((d, "".join(c + (" " if rng.random() < 0.02 else "") for c in text if c != " " or rng.random() < 0.97)))
+    squeeze = lambda t: "".join(leaks.tokens(t))
+    want = set()
+    for i, x in items:
+        q = leaks.tokens(x)
+        for k in range(len(q) - 11):
+            want |= {(d, i) for d, t in docs if "".join(q[k : k + 12]) in squeeze(t)}
+    assert set(found(spark, docs, items, chars=500)) == want and len(want) > 20
+
+
 def test_no_match_across_documents(spark):
     w = [f"q{i}" for i in range(14)]
     assert found(spark, [(1, " ".join(w[:7])), (2, " ".join(w[7:]))], [(1, " ".join(w))]) == {}
@@ -89,7 +114,7 @@ def test_near_finds_edited_passages(spark):
 
 def test_near_equals_brute_force_in_any_sharding(spark):
     rng = random.Random(9)
-    words = [f"t{i}" for i in range(40)]
+    words = [f"t{i:02d}" for i in range(40)]
     items = [(i, " ".join(rng.choices(words, k=rng.randint(4, 16)))) for i in range(12)]
     docs = []
     for d in range(60):
