@@ -259,3 +259,16 @@ def map_to_list(df: DataFrame, names: DataFrame, *, key: str, value: str, rememb
     kind = df.schema[key].dataType.simpleString()
     rows = df.where(F.col(value) != "").select(F.col(key).alias("row_id"), F.col(value).alias("v"))
     return rows.mapInArrow(run, f"row_id {kind}, ref_key string, score double")
+
+
+def repaired_tokens(df: DataFrame, names: DataFrame, *, value: str) -> DataFrame:
+    """token, nearest (sorted vocabulary tokens at the least distance allowed): one row for each distinct token of the column that isn't a number."""
+    shared = df.sparkSession.sparkContext.broadcast(listed(names))
+
+    def run(batches):
+        ref = Reference(shared.value)
+        for b in batches:
+            ts = sorted({t for v in b.column(0).to_pylist() for t in tokens(v) if not t.isdigit()})
+            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.string()), pa.array([sorted(t for t, _ in ref.repair(x)) for x in ts], pa.list_(pa.string()))], names=["token", "nearest"])
+
+    return df.where(F.col(value) != "").select(F.col(value).alias("v")).distinct().mapInArrow(run, "token string, nearest array<string>").distinct()

@@ -46,4 +46,13 @@ _P6 = """
 SELECT field, count(*) AS n FROM (SELECT 'city' AS field FROM jobs WHERE city <> '' UNION ALL SELECT 'raw_label' FROM form_question WHERE raw_label <> '') GROUP BY 1
 """
 
-ORACLES = {"p1_found": _P1, "p2_found": _P2, "p8_found": _P8, "p6_counts": _P6}
+_P6_TOKENS = """
+WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(lower(strip_accents(replace(city, 'ß', 'ss'))), '[''’]', '', 'g'), '[\\p{L}\\p{N}]+')) AS token FROM jobs WHERE city <> ''),
+v AS (SELECT DISTINCT unnest(regexp_extract_all(regexp_replace(lower(strip_accents(replace(n, 'ß', 'ss'))), '[''’]', '', 'g'), '[\\p{L}\\p{N}]+')) AS w
+  FROM (SELECT city AS n FROM city_ref UNION ALL SELECT unnest(other_names) FROM city_ref)),
+p AS (SELECT token, w, damerau_levenshtein(token, w) AS d, CASE WHEN least(length(token), length(w)) <= 2 THEN 0 WHEN least(length(token), length(w)) <= 5 THEN 1 ELSE 2 END AS most FROM t, v),
+m AS (SELECT token, w, d, min(d) OVER (PARTITION BY token) AS least_d FROM p WHERE d <= most)
+SELECT t.token, coalesce(string_agg(w, ' ' ORDER BY w) FILTER (d = least_d), '') AS nearest FROM t LEFT JOIN m USING (token) WHERE NOT regexp_matches(t.token, '^[0-9]+$') GROUP BY 1
+"""
+
+ORACLES = {"p6_tokens": _P6_TOKENS, "p1_found": _P1, "p2_found": _P2, "p8_found": _P8, "p6_counts": _P6}

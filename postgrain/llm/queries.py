@@ -101,6 +101,12 @@ def p6_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mapped(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n"))
 
 
+def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct token of the typed cities with the vocabulary tokens nearest to it."""
+    t = canonical.repaired_tokens(table(spark, sf_dir, "jobs"), _city_names(spark, sf_dir), value="city")
+    return t.select("token", F.array_join("nearest", " ").alias("nearest"))
+
+
 def p6_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of unmatched rows by field."""
     return _mapped(spark, sf_dir).groupBy("field").agg(F.count("*").alias("n"), F.count_if(F.col("ref_key") == canonical.NONE).alias("unmatched"))
@@ -126,4 +132,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "level_labels")).select("doc_id", "reading_level")
 
 
-QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_scores": p3_scores, "p6_found": p6_found, "p6_counts": p6_counts, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_records": p1_records, "p2_found": p2_found, "p2_classes": p2_classes, "p3_found": p3_found, "p3_scores": p3_scores, "p6_found": p6_found, "p6_counts": p6_counts, "p6_tokens": p6_tokens, "p6_unmatched": p6_unmatched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found}
