@@ -14,8 +14,10 @@ bits. Equal keys are found by sorting a slice in memory. Slices are as many as t
 Within a run of equal keys the sketch drops pairs far below the threshold, without reading any text: the threshold on agreeing sketch
 coordinates is four standard deviations below what a pair at the similarity threshold has (it keeps 0.99997 of such pairs, more above).
 
-Long runs (over ``block`` classes with one key) are not paired in place: their members go out as rows keyed by pairs of
-blocks, spread over tasks, and every block pair is compared there, so a hot key is never one task's work and no pair is lost.
+Hot keys. A key held by over a hundredth of a batch (64 texts at least) never reaches its slice: its members leave the signature stage
+as rows of their own, spread over the slices, and the slice only gets a mark, so that the few members of other batches join them.
+They, and runs of over ``block`` classes in a slice, are not paired in place: they go out as rows keyed by pairs of blocks, spread
+over tasks, and every block pair is compared there, so a hot key is never one task's work and no pair is lost.
 
 Verification. The candidate pairs are made distinct, the texts of their classes are fetched, and the exact similarity of
 shingle sets decides. The result is pairs of class representatives plus membership; ``all_pairs`` expands them.
@@ -48,6 +50,12 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
+def ascending(x: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted (by sorting: hashing is slower on millions of 64-bit keys)."""
+    x = np.sort(x, axis=None)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 class WordHashes(dict):
     """Word to its place in a table of 64-bit hashes."""
 
@@ -96,7 +104,7 @@ def shingle_sets(texts: list[str], n: int, hashes: WordHashes) -> tuple[np.ndarr
             s = mix(s * _U(3) + w[j : j + m])
     s = mix(s)
     ok = owner[:m] == owner[n - 1 :]
-    key = np.unique((owner[:m][ok] << _U(48)) | (s[ok] >> _U(16)))
+    key = ascending((owner[:m][ok] << _U(48)) | (s[ok] >> _U(16)))
     return (key >> _U(48)).astype(np.int64), key & _U((1 << 48) - 1), whole
 
 
@@ -248,6 +256,17 @@ def run_pairs(order_len: np.ndarray, start: np.ndarray) -> Iterator[tuple[np.nda
             yield (part + i).ravel(), (part + j).ravel()
 
 
+def often(key: np.ndarray, least: int) -> Iterator[tuple[np.uint64, np.ndarray]]:
+    """Keys that stand over ``least`` times, with their places in the flattened array."""
+    flat = key.ravel()
+    order = np.argsort(flat, kind="stable")
+    s = flat[order]
+    begins = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    length = np.diff(np.append(begins, len(s)))
+    for b, n in zip(begins[length > least].tolist(), length[length > least].tolist()):
+        yield s[b], np.sort(order[b : b + n])
+
+
 def slice_names(spark, slices: int) -> list[int]:
     """For each of ``slices`` shuffle partitions a number that hashes there: then every slice is a task of its own."""
     ids = spark.range(0, 40 * slices, 1, 1).select(F.col("id").cast("int").alias("i")).withColumn("p", F.pmod(F.hash("i"), F.lit(slices)))
@@ -282,10 +301,22 @@ def candidates(
                 cid = cid[live]
                 sig = signatures(owner, element, len(live), k, seed=seed)
                 key, sk = band_keys(sig, rows), sketch(sig)
-                where = (key >> _U(40)) * _U(slices) >> _U(24)
-                flat = np.argsort(where.ravel(), kind="stable")
-                bound = np.searchsorted(where.ravel()[flat], np.arange(slices + 1))
+                where = ((key >> _U(40)) * _U(slices) >> _U(24)).ravel()
                 cols: list[list] = [[], [], [], [], []]
+                plain = np.ones(key.size, bool)
+                for hot, members in often(key, max(64, len(cid) // 100)):
+                    # the members go straight to the comparison of blocks; the key's slice gets a mark that it is hot
+                    plain[members] = False
+                    own = members // bands
+                    name = names[int((hot ^ cid[own[0]].view(_U)) % _U(slices))]
+                    for c, v in zip(cols, (name, b"", hot.tobytes(), cid[own].tobytes(), sk[own].tobytes())):
+                        c.append(v)
+                    low = hot.reshape(1).view(np.uint8)[:6].tobytes()
+                    for c, v in zip(cols, (names[int(where[members[0]])], low, b"", b"", b"")):
+                        c.append(v)
+                flat = np.flatnonzero(plain)
+                flat = flat[np.argsort(where[flat], kind="stable")]
+                bound = np.searchsorted(where[flat], np.arange(slices + 1))
                 for s in range(slices):
                     e = flat[bound[s] : bound[s + 1]]
                     if not len(e):
@@ -297,12 +328,22 @@ def candidates(
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], names=["slice", "keys", "idx", "cids", "sketches"])
 
     def join(table: pa.Table) -> pa.Table:
-        key, who, cid, sk = [], [], [], []
+        key, who, cid, sk = ([np.zeros(0, t)] for t in (_U, np.int64, np.int64, _U))
+        sk = [sk[0].reshape(0, SKETCH // 32)]
         base = 0
+        marked, hot_key, straight, straight_sk = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [sk[0]]
         for r in zip(*[table.column(c).to_pylist() for c in ("keys", "idx", "cids", "sketches")]):
+            if not r[0]:
+                straight.append(np.frombuffer(r[2], np.int64))
+                straight_sk.append(np.frombuffer(r[3], np.uint64).reshape(-1, SKETCH // 32))
+                hot_key.append(np.full(len(straight[-1]), np.frombuffer(r[1], np.uint64)[0] & _U((1 << 48) - 1)).view(np.int64))
+                continue
             six = np.frombuffer(r[0], np.uint8).reshape(-1, 6)
             eight = np.zeros((len(six), 8), np.uint8)
             eight[:, :6] = six
+            if not r[2]:
+                marked.append(eight.view(np.uint64).ravel())
+                continue
             key.append(eight.view(np.uint64).ravel())
             who.append(np.frombuffer(r[1], np.uint16).astype(np.int64) + base)
             cid.append(np.frombuffer(r[2], np.int64))
@@ -323,30 +364,30 @@ def candidates(
         length = np.diff(np.append(begins, len(key)))
         sk = sk[rep]
         met = [np.zeros(0, np.int64)]
-        short = (length > 1) & (length <= block)
+        mark = np.isin(key[begins], np.concatenate(marked)) if len(begins) else np.zeros(0, bool)
+        short = (length > 1) & (length <= block) & ~mark
         for i, j in run_pairs(length[short], begins[short]):
             x, y = who[i], who[j]
             ok = agreeing(sk[x], sk[y]) >= least
-            met.append(np.unique(x[ok] * len(ids) + y[ok]))
-        pair = np.unique(np.concatenate(met))
+            met.append(ascending(x[ok] * len(ids) + y[ok]))
+        pair = ascending(np.concatenate(met))
         x, y = np.divmod(pair, max(1, len(ids)))
         a, b = _ascending(ids[x], ids[y])
-        hot = length > block
+        hot = (length > block) | mark
         size = length[hot]
         at = np.repeat(begins[hot] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        hot_cid = ids[who[at]]
+        hot_cid = np.concatenate([ids[who[at]], *straight])
         none = len(a)
         return pa.table({
             "a": np.concatenate([a, hot_cid]),
-            "b": np.concatenate([b, key[at].view(np.int64)]),
-            "blocks": pa.array(np.concatenate([np.zeros(none, np.int32), np.repeat(-(-size // block), size).astype(np.int32)])),
-            "sketch": pa.array([None] * none + [s.tobytes() for s in sk[who[at]]], pa.binary()),
+            "b": np.concatenate([b, key[at].view(np.int64), *hot_key]),
+            "sketch": pa.array([None] * none + [s.tobytes() for s in np.concatenate([sk[who[at]], *straight_sk])], pa.binary()),
         })
 
     packed = classes.mapInArrow(pack, "slice int, keys binary, idx binary, cids binary, sketches binary")
-    found = checkpointed(packed.repartition(slices, "slice").groupBy("slice").applyInArrow(join, "a bigint, b bigint, blocks int, sketch binary"))
-    pairs = found.where("blocks = 0").select("a", "b")
-    hot = found.where("blocks > 0")
+    found = checkpointed(packed.repartition(slices, "slice").groupBy("slice").applyInArrow(join, "a bigint, b bigint, sketch binary"))
+    pairs = found.where("sketch is null").select("a", "b")
+    hot = found.where("sketch is not null")
     if not hot.isEmpty():
 
         def compare(table: pa.Table) -> pa.Table:
@@ -364,6 +405,9 @@ def candidates(
                 out_b.append(y)
             return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
 
+        hot = hot.groupBy("b", "a").agg(F.first("sketch").alias("sketch"))
+        size = hot.groupBy("b").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+        hot = hot.join(size, "b")
         mine = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
         spread = hot.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = spread.select("b", "a", "sketch", "mine", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"))
@@ -416,12 +460,17 @@ def near_duplicates(
     return base.select("key", "cid"), links
 
 
-def all_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
-    """key_a < key_b: every linked pair of rows, copies of one text among them."""
+def all_pairs(members: DataFrame, links: DataFrame, *, chunk: int = 1000) -> DataFrame:
+    """key_a < key_b: every linked pair of rows, copies of one text among them. The rows of a text that stands often are paired in
+    chunks, each with all rows of the text, so no task pairs a whole class."""
     x = members.select(F.col("key").alias("k1"), F.col("cid").alias("a"))
     y = members.select(F.col("key").alias("k2"), F.col("cid").alias("b"))
     across = links.select("a", "b").join(x, "a").join(y, "b").select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"))
-    copies = x.join(y, (F.col("a") == F.col("b")) & (F.col("k1") < F.col("k2"))).select(F.col("k1").alias("key_a"), F.col("k2").alias("key_b"))
+    size = members.groupBy("cid").agg(F.count("*").alias("n")).where("n > 1").select("cid", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    many = members.join(size, "cid")
+    part = many.select("cid", F.col("key").alias("k1"), F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int").alias("chunk"))
+    every = many.select("cid", F.col("key").alias("k2"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    copies = part.join(every, ["cid", "chunk"]).where("k1 < k2").select(F.col("k1").alias("key_a"), F.col("k2").alias("key_b"))
     return across.unionByName(copies)
 
 

@@ -67,6 +67,28 @@ def test_hot_runs_go_through_blocks_and_lose_nothing(spark):
     assert brute(ts, 3, 0.5) <= got
 
 
+def test_members_of_a_hot_key_in_other_batches_meet_it(spark):
+    rng = random.Random(6)
+    base = rng.choices(VOCAB, k=60)
+    ts = []
+    for _ in range(156):
+        c = list(base)
+        c[rng.randrange(60)] = rng.choice(VOCAB)
+        ts.append(" ".join(c))
+    ts += [" ".join(rng.choices(VOCAB, k=40)) for _ in range(30)]
+    many, few = ([(i, t) for i, t in enumerate(ts) if (i < 150) == first] for first in (True, False))
+    df = spark.createDataFrame(many, "cid bigint, t string").coalesce(1).unionByName(spark.createDataFrame(few + many[:3], "cid bigint, t string").coalesce(1))
+    got = {tuple(r) for r in nd.candidates(df, n=3, threshold=0.5, bands=48, rows=4, n_rows=190, block=50).collect()}
+    want = brute(ts, 3, 0.5)
+    assert want <= got and len(want) == 156 * 155 // 2
+
+
+def test_rows_of_one_text_are_paired_in_chunks(spark):
+    m = spark.createDataFrame([(i, 7 if i < 25 else i) for i in range(40)], "key bigint, cid bigint")
+    got = nd.all_pairs(m, spark.createDataFrame([(7, 30)], "a bigint, b bigint"), chunk=4).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {(i, j) for i in range(25) for j in range(i + 1, 25)} | {(i, 30) for i in range(25)}
+
+
 def test_copies_are_one_class(spark):
     ts = ["a b c d e f"] * 30 + ["a b c d e g"] * 2
     _, m, l = found(spark, ts, n=3, threshold=0.5)
