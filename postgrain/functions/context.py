@@ -1,43 +1,31 @@
-"""Matches that need the text around them: years of experience, months of duration, amounts."""
+"""Numbers that need the words around them: years of experience asked for, months that something lasts. Inside code generation."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
-_YEARS = re.compile(r"(\d{1,3})\s*(?:\+|(?:-|–|to)\s*\d{1,3})?\s*(?:years?|yrs?)\b", re.I)
-_MONTHS = re.compile(r"(\d{1,2})(?:\s*(?:-|–|to)\s*\d{1,2})?[\s-]*months?\b", re.I)
+_YEAR = "years?|yrs?"
+_MONTH = "months?"
+# Words that tell what the number is about.
+EXPERIENCE = "experience|exp"
+LASTING = "duration|lasts?|lasting|internship|interns?|term|stay|placement|long|period|programme?"
 
 
-def near(pattern: re.Pattern, context: str, before: int, after: int, text: str | None, low: int, high: int, least: bool) -> float | None:
-    """First (or least) number of the pattern within bounds whose surroundings hold a context word."""
-    best = None
-    for m in pattern.finditer(text or ""):
-        n = int(m.group(1))
-        if low <= n <= high and re.search(context, text[max(0, m.start() - before) : m.end() + after], re.I):
-            if not least:
-                return float(n)
-            best = n if best is None else min(best, n)
-    return None if best is None else float(best)
+def _numbers(text: Column, unit: str, topic: str, before: int, after: int) -> Column:
+    """Numbers (the first of a range) of the unit, with a word of the topic at most so many characters before or after."""
+    number = f"\\b(\\d{{1,3}})(?:\\s*(?:\\+|(?:-|–|to)\\s*\\d{{1,3}}))?[\\s-]*(?:{unit})\\b"
+    # (?<=...) looks back over a bounded stretch, (?=...) ahead; both leave the text between for the next match
+    near = f"(?is)(?:(?<=\\b(?:{topic})\\b[^\\n]{{0,{before}}}){number}|{number}(?=.{{0,{after}}}\\b(?:{topic})\\b))"
+    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(near), F.lit(1)).alias("a"), F.regexp_extract_all(text, F.lit(near), F.lit(2)).alias("b"))
+    return F.transform(pairs, lambda p: F.coalesce(F.nullif(p["a"], F.lit("")), F.nullif(p["b"], F.lit(""))).cast("int"))
 
 
 def years_of_experience(x: Column) -> Column:
-    """Fewest years asked for within 30 characters of 'experience'."""
-
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: near(_YEARS, r"experience|\bexp ", 30, 30, t, 0, 99, True))
-
-    return run(x)
+    """Fewest years within 30 characters of a word for experience; null if none."""
+    return F.array_min(_numbers(F.coalesce(x, F.lit("")), _YEAR, EXPERIENCE, 30, 30)).cast("double")
 
 
 def duration_months(x: Column) -> Column:
-    """First duration of 1 to 12 months beside a word of duration."""
-
-    @F.pandas_udf("double")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: near(_MONTHS, "duration|intern|long|period|program", 40, 25, t, 1, 12, False))
-
-    return run(x).cast("int")
+    """First number of months up to a year beside a word for lasting; null if none."""
+    within = F.filter(_numbers(F.coalesce(x, F.lit("")), _MONTH, LASTING, 30, 30), lambda n: (n >= 1) & (n <= 12))
+    return F.get(within, F.lit(0))

@@ -33,7 +33,17 @@ def refs_in(text: Column, patterns: dict[str, str]) -> Column:
     """array<struct<pos,kind,token>> of all pattern hits (group 1 is the token) by position, the first of each kind and token."""
 
     def hits(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda h: F.struct(F.position(h, text).alias("pos"), F.lit(kind).alias("kind"), h.alias("token")))
+        # the whole match tells the place; the n-th match is looked for after the end of the one before
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        token = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<int>").alias("places"))
+
+        def step(acc: Column, w: Column) -> Column:
+            at = F.position(w, text, acc["end"] + 1)
+            return F.struct((at + F.length(w) - 1).alias("end"), F.array_append(acc["places"], at).alias("places"))
+
+        places = F.aggregate(whole, start, step)["places"]
+        return F.transform(F.arrays_zip(places.alias("at"), token.alias("token")), lambda h: F.struct(h["at"].alias("pos"), F.lit(kind).alias("kind"), h["token"].alias("token")))
 
     found = F.concat(*[hits(k, p) for k, p in patterns.items()])
     return F.aggregate(

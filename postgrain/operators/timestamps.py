@@ -127,7 +127,7 @@ def to_utc(
     ``registry``: source, time_zone, day_first. status: ``exact``, ``inferred``, ``ambiguous`` (``utc_us`` is then the
     likelier reading, ``other_us`` the other), ``invalid`` or ``none``.
     """
-    reg = registry.select(F.col("source").alias("r_source"), "time_zone", "day_first").dropDuplicates(["r_source"])
+    reg = registry.groupBy(F.col("source").alias("r_source")).agg(F.min(F.struct("time_zone", "day_first")).alias("r")).select("r_source", "r.time_zone", "r.day_first")
     long = df.select(
         F.col(key).alias("key"), F.col(source).alias("source"), F.col(reference).alias("reference"),
         F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(s).alias("side"), F.col(f).cast("string").alias("value")) for f, s in fields.items()])).alias("x"),

@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, functions as F
 MAX_QUERY_BYTES = 64_000_000
 
 
+def _best(s: np.ndarray, keys: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest values of each row, equal ones by the smaller key; only values not under the k-th are sorted."""
+    if k >= s.shape[1]:
+        return np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    row, col = np.nonzero(s >= least[:, None])
+    order = np.lexsort((keys[col], -s[row, col], row))
+    row, col = row[order], col[order]
+    first = np.searchsorted(row, np.arange(len(s)))
+    return col[first[:, None] + np.arange(k)[None, :]]
+
+
 def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, k: int = 1, exclude_self: bool = True) -> DataFrame:
     """query, key, cosine: the k most similar rows of each query (ties by the smaller key).
 
@@ -33,17 +45,17 @@ def nearest(rows: DataFrame, queries: DataFrame, *, key: str, vector: str, k: in
             m = m / np.where(norm > 0, norm, 1)[:, None]
             qid = np.array(ids)
             for batch in batches:
-                keys = np.array(batch.column(0).to_pylist())
-                v = np.array(batch.column(1).to_pylist(), np.float64)
-                if not len(keys):
+                if not batch.num_rows:
                     continue
+                keys = batch.column(0).to_numpy(zero_copy_only=False)
+                v = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 n = np.linalg.norm(v, axis=1)
                 s = np.round(m @ (v / np.where(n > 0, n, 1)[:, None]).T, 9)
                 s[:, n == 0] = -np.inf
                 s[norm == 0] = -np.inf
                 if exclude_self:
                     s[qid[:, None] == keys[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(keys, s.shape), -s), axis=1)[:, :k]
+                order = _best(s, keys, k)
                 best = np.take_along_axis(s, order, 1)
                 ok = np.isfinite(best)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, ok.sum(1))), pa.array(keys[order][ok]), pa.array(best[ok])], names=["query", "key", "cosine"])

@@ -303,10 +303,10 @@ def topk_per_group(t: Tables) -> DataFrame:
     return t.jobs.select("source", "id", "title", "discovered_at").withColumn("rn", F.row_number().over(w)).where("rn <= 2").select("source", "id")
 
 
-@query("""SELECT company_id, arg_max(source, s) AS source FROM (SELECT company_id, source, count(*) * 1000000 - min(id) AS s FROM jobs WHERE company_id IS NOT NULL GROUP BY 1, 2) GROUP BY 1""")
+@query("""SELECT company_id, source FROM (SELECT company_id, source, row_number() OVER (PARTITION BY company_id ORDER BY count(*) DESC, min(id)) AS rn FROM jobs WHERE company_id IS NOT NULL GROUP BY 1, 2) WHERE rn = 1""")
 def modal_pick(t: Tables) -> DataFrame:
     g = t.jobs.where("company_id is not null").groupBy("company_id", "source").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    return g.groupBy("company_id").agg(F.max_by("source", F.col("n") * 1_000_000 - F.col("first")).alias("source"))
+    return g.groupBy("company_id").agg(F.max_by("source", F.struct("n", -F.col("first"))).alias("source"))
 
 
 @query("""SELECT cluster, min(id) AS winner, count(*) - 1 AS refused FROM (SELECT id, regexp_replace(lower(coalesce(company, '')), '[^a-z0-9]', '', 'g') || '|' ||

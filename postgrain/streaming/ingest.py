@@ -1,4 +1,4 @@
-"""Streams over landing folders: incremental merge into snapshots, windows with watermarks."""
+"""Streams over landing folders: incremental merge into bucketed snapshots, event-time windows closed by a watermark."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postgrain.operators import merge
 from postgrain.session import checkpoint_root
+from postgrain.sources import snapshots
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -24,29 +25,34 @@ def landing(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def fold_stream(stream: DataFrame, *, key: list[str], order: str, policies: dict[str, str], target: str, checkpoint: str) -> None:
-    """Merges each micro-batch into versioned snapshots under ``target``: version n is written from n - 1 and the batch, so a
-    batch that runs again after a failure overwrites its own version and nothing else."""
+def fold_stream(stream: DataFrame, *, key: list[str], order: str, policies: dict[str, str], target: str, checkpoint: str, buckets: int = 64) -> None:
+    """Merges each micro-batch into a snapshot of ``buckets`` parts by key hash. A batch reads and rewrites only the buckets it touches;
+    a manifest tells the version of each bucket, so a batch that runs again after a failure overwrites its own files and nothing else."""
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
 
     def apply(batch: DataFrame, n: int) -> None:
+        batch = batch.withColumn("__bucket", bucket)
+        touched = sorted(r[0] for r in batch.select("__bucket").distinct().collect())  # at most ``buckets``
+        if not touched:
+            return
+        before = snapshots.manifest(spark, target, below=n)
+        old = snapshots.of_buckets(spark, target, {b: v for b, v in before.items() if b in touched})
         cols = [*key, *policies]
-        if n == 0:
-            new = merge.fold(batch, key=key, order=order, policies=policies)
-        else:
-            new = merge.upsert(spark.read.parquet(f"{target}/v{n - 1}"), batch, key=key, order=order, policies=policies)
-        new.select(*cols).write.mode("overwrite").parquet(f"{target}/v{n}")
+        new = merge.fold(batch, key=key, order=order, policies=policies) if old is None else merge.upsert(old, batch, key=key, order=order, policies=policies)
+        new.select(*cols).withColumn("__bucket", bucket).write.mode("overwrite").partitionBy("__bucket").parquet(f"{target}/v{n}")
+        snapshots.publish_manifest(spark, target, n, {**before, **dict.fromkeys(touched, n)})
 
     q = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    """The newest snapshot."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    versions = [int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v")]
-    return spark.read.parquet(f"{target}/v{max(versions)}")
+    """The newest snapshot whose manifest is whole."""
+    df = snapshots.of_buckets(spark, target, snapshots.manifest(spark, target))
+    if df is None:
+        raise ValueError(f"no snapshot in {target}")
+    return df
 
 
 def counts_by_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -57,17 +63,22 @@ def counts_by_stream(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark, target)
 
 
-def hourly_by_stream(spark: SparkSession, path: str, late: str = "2 hours") -> DataFrame:
-    """Events by type and hour of event time with a watermark; written when complete, the last hours at the end of input."""
-    target, check = _folder(spark, "hours"), _folder(spark, "progress")
-    e = landing(spark, path).withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    g = e.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    out = g.select("event_type", F.unix_micros("window.start").alias("hour_us"), "n")
+def _hours(events: DataFrame) -> DataFrame:
+    g = events.groupBy(F.window("at", "1 hour"), "event_type").agg(F.count("*").alias("n"))
+    return g.select("event_type", F.unix_micros("window.start").alias("hour_us"), "n")
 
-    def apply(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/v{n}")
 
-    # complete mode: each batch writes all hours, so the newest version is the whole result
-    q = out.writeStream.outputMode("complete").foreachBatch(apply).option("checkpointLocation", check).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return latest(spark, target)
+def close_hours(events: DataFrame, *, target: str, checkpoint: str, late: str = "2 hours") -> None:
+    """Appends each hour once, when the watermark (newest event less ``late``) has passed it; its state goes then, and later rows for it are dropped."""
+    q = _hours(events.withWatermark("at", late)).writeStream.format("parquet").outputMode("append")
+    q.option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def hourly_by_stream(spark: SparkSession, path: str, late: str = "2 hours") -> DataFrame:
+    """Events by type and hour of event time: hours closed by the stream, and those after the last closed one as they stand."""
+    target, check = _folder(spark, "hours"), _folder(spark, "progress")
+    close_hours(landing(spark, path).withColumn("at", F.col("ts").cast("timestamp")), target=target, checkpoint=check, late=late)
+    closed = spark.read.schema("event_type string, hour_us bigint, n bigint").parquet(target)
+    last = closed.agg(F.coalesce(F.max("hour_us"), F.lit(-(1 << 62))).alias("last")).first()[0]
+    events = spark.read.parquet(path).withColumn("at", F.col("ts").cast("timestamp"))
+    return closed.unionByName(_hours(events.where(F.unix_micros(F.date_trunc("hour", "at")) > last)))

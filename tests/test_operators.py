@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postgrain.functions import html, text as tx
-from postgrain.functions.context import _MONTHS, _YEARS, near
+from postgrain.functions.context import duration_months, years_of_experience
 from postgrain.operators import cluster, merge, rules, vectors
 from postgrain.sources import payloads
 from postgrain.streaming import ingest
@@ -51,11 +51,14 @@ def test_first_match_takes_the_first_rule(spark):
     assert [one(spark, c, a=a) for a in ["ab", "b", "q"]] == ["x", "y", "z"]
 
 
-def test_context_numbers():
-    assert near(_YEARS, "experience", 30, 30, "3-5 years of experience; 2+ years experience", 0, 99, True) == 2
-    assert near(_YEARS, "experience", 30, 30, "founded 12 years ago", 0, 99, True) is None
-    assert near(_MONTHS, "duration|intern", 40, 25, "Duration: 3-6 Months", 1, 12, False) == 3
-    assert near(_MONTHS, "duration|intern", 40, 25, None, 1, 12, False) is None
+@pytest.mark.parametrize("text, years, months", [
+    ("3-5 years of experience; 2+ years experience", 2.0, None), ("founded 12 years ago", None, None), ("Experience needed: 4 yrs", 4.0, None), ("Duration: 3-6 Months", None, 3),
+    ("a 9-month internship", None, 9), ("every 14 months the period ends", None, None), ("for 24 months, or an internship of 6 months", None, 6), ("2 months ago we moved house and it was a very long tale", None, None),
+    ("1 year experience" + " x" * 50_000, 1.0, None), ("", None, None), (None, None, None),
+])
+def test_context_numbers(spark, text, years, months):
+    r = spark.createDataFrame([(text,)], "t string").select(years_of_experience(F.col("t")).alias("y"), duration_months(F.col("t")).alias("m")).first()
+    assert (r["y"], r["m"]) == (years, months)
 
 
 def test_html():
@@ -139,6 +142,31 @@ def test_stream_equals_batch_over_several_files(spark, tmp_path):
     assert sorted(map(tuple, ingest.latest(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_stream_rewrites_only_touched_buckets_and_deletes_old_files(spark, tmp_path):
+    import os
+
+    out = str(tmp_path / "out")
+    for i in range(4):
+        spark.range(100 if i == 0 else 2).selectExpr("cast(id as string) as k", "1L as n", f"id + {i * 1000} as last").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("k string, n bigint, last bigint").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.fold_stream(s, key=["k"], order="last", policies={"n": "sum", "last": "max"}, target=out, checkpoint=str(tmp_path / "ck"), buckets=8)
+    got = {r["k"]: r["n"] for r in ingest.latest(spark, out).collect()}
+    assert len(got) == 100 and got["0"] == got["1"] == 4 and got["50"] == 1
+    sizes = sorted(len([b for b in os.listdir(f"{out}/{v}") if b.startswith("__")]) for v in os.listdir(out) if v.startswith("v"))
+    assert sizes[-1] <= 8 and all(n <= 2 for n in sizes[:-1]) and sorted(m for m in os.listdir(out) if m.startswith("m")) == ["m2", "m3"]
+
+
+def test_stream_drops_rows_later_than_the_watermark(spark, tmp_path):
+    hours = [[0, 0, 1], [5], [6], [0, 5, 6]]  # the last file's row of hour 0 comes when hour 0 is closed
+    for i, hs in enumerate(hours):
+        rows = ", ".join(f"('t', timestamp_seconds({3600 * h + 60}))" for h in hs)
+        spark.sql(f"select * from values {rows} as x(event_type, at)").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("event_type string, at timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.close_hours(s, target=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
+    got = {(r["hour_us"] // 3_600_000_000, r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (1, 1) in got and {n for h, n in got if h == 0} <= {2} and all(h < 6 for h, _ in got)
+
+
 def test_running_values_over_segments(spark):
     from postgrain.operators import running
 
