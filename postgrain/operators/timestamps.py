@@ -5,8 +5,9 @@ family: ISO-like, epoch, month by name, all-numeric, relative. Only all-numeric
 order is inferred for each source by expectation-maximisation over the mixture of readings: every value contributes its
 likelihood under each valid parse (a calendar date, near the row's reference time, on the side that the field implies),
 the posteriors update the source's mixture, and the final posterior chooses the reading. A registry's stated order
-enters as a Dirichlet prior, so it holds where it is known and the data decide where it isn't. A value whose best posterior stays
-under ``sure`` is marked ``ambiguous`` and keeps both instants.
+enters as a weak Dirichlet prior of ``registry_weight`` values: it decides where a source has few telling values, and the data
+overrule it where a source has many. A value whose best posterior stays under ``sure`` is marked ``ambiguous`` and keeps both
+instants; so is a local time that occurs twice when clocks are set back, whose second instant is ``other_us``.
 
 The E and M steps run on eight counts a source (the likelihood patterns), made by one partial aggregation over all
 values; nothing is collected to the driver, and a source that holds a third of all rows shrinks to its eight counts
@@ -14,7 +15,7 @@ before the shuffle.
 
 Defined results: null, empty and wordy values (``Rolling``, ``TBD``) have status ``none``; impossible dates
 ``invalid``; a value without a zone is in its source's zone, UTC for a source without one; of two possible instants
-(clocks set back) the first counts, and a time skipped by a change of clocks counts as moved on by the gap; two-digit
+(clocks set back) the first counts and the value is ``ambiguous``; a time skipped by a change of clocks counts as moved on by the gap; two-digit
 years are 20xx; a date alone is its midnight. Relative values count from the reference time with its microseconds: days
 of 24 hours, weeks of 7, months of 30 days; with a null reference time they are ``none``. Repeated rows stay.
 """
@@ -74,11 +75,11 @@ def _plausible(days_off: Column, side: Column) -> Column:
     return F.when(d.isNull() | d.between(-2, 400), 1.0).otherwise(0.05)
 
 
-def order_posteriors(values: DataFrame, *, rounds: int = 25, registry_weight: float = 9.0) -> DataFrame:
+def order_posteriors(values: DataFrame, *, rounds: int = 25, registry_weight: float = 20.0) -> DataFrame:
     """source, p_dmy: the mixture weight of day-month order of each source, by expectation-maximisation.
 
     ``values``: source, value, reference TIMESTAMP, side INT, day_first BOOLEAN (null: not registered). The registry's order
-    counts as ``registry_weight`` times all of the source's values together.
+    counts as ``registry_weight`` values.
     """
     a, b = F.regexp_extract("value", _NUMERIC, 1), F.regexp_extract("value", _NUMERIC, 2)
     y = F.regexp_extract("value", _NUMERIC, 3)
@@ -98,8 +99,8 @@ def order_posteriors(values: DataFrame, *, rounds: int = 25, registry_weight: fl
         .agg(F.count("*").cast("double").alias("n"), F.max("day_first").alias("day_first"))
     )
     classes = counts.groupBy("source").agg(F.collect_list(F.struct("l_dmy", "l_mdy", "n")).alias("cls"), F.sum("n").alias("total"), F.max("day_first").alias("day_first"))
-    prior_d = 1.0 + F.when(F.col("day_first"), registry_weight * F.col("total")).otherwise(0.0)
-    prior_m = 1.0 + F.when(~F.col("day_first"), registry_weight * F.col("total")).otherwise(0.0)
+    prior_d = 1.0 + F.when(F.col("day_first"), registry_weight).otherwise(0.0)
+    prior_m = 1.0 + F.when(~F.col("day_first"), registry_weight).otherwise(0.0)
 
     def m_step(p: Column, _: Column) -> Column:
         e = F.aggregate("cls", F.lit(0.0), lambda acc, c: acc + c["n"] * p * c["l_dmy"] / (p * c["l_dmy"] + (1 - p) * c["l_mdy"]))
@@ -119,7 +120,7 @@ def to_utc(
     reference: str = "discovered_at",
     sure: float = 0.9,
     rounds: int = 25,
-    registry_weight: float = 9.0,
+    registry_weight: float = 20.0,
 ) -> DataFrame:
     """key, field, value, utc_us, other_us, p_reading, status: one row for each row of ``df`` and field.
 
@@ -198,11 +199,21 @@ def to_utc(
     )
     other = F.when(numeric & (F.col("dmy") != F.col("mdy")), F.when(F.col("post") >= 0.5, F.col("mdy")).otherwise(F.col("dmy")))
     best = F.greatest(F.col("post"), 1 - F.col("post"))
-    p = once(p, utc_us=utc, other_us=other)
+    p = once(p, utc_us=utc, reading_us=other)
+    # the same wall clock again half an hour or an hour later: clocks were set back
+    local = written & (part(9) == "") & F.col("time_zone").isNotNull() & F.col("utc_us").isNotNull()
+
+    def wall(us: Column) -> Column:
+        return F.from_utc_timestamp(F.timestamp_micros(us), F.col("time_zone"))
+
+    again = F.coalesce(*[F.when(local & (wall(F.col("utc_us") + s * 1_000_000) == wall(F.col("utc_us"))), F.col("utc_us") + s * 1_000_000) for s in (3600, 1800)])
+    p = once(p, again_us=again)
+    p = p.withColumn("other_us", F.coalesce("reading_us", "again_us"))
     p = p.withColumn("p_reading", F.when(numeric, best).when(F.col("utc_us").isNotNull(), 1.0))
     status = (
         F.when(F.col("utc_us").isNull(), F.when(F.col("fam").isNotNull(), "invalid").otherwise("none"))
-        .when(F.col("other_us").isNotNull(), F.when(best >= sure, "inferred").otherwise("ambiguous"))
+        .when(F.col("again_us").isNotNull(), "ambiguous")
+        .when(F.col("reading_us").isNotNull(), F.when(best >= sure, "inferred").otherwise("ambiguous"))
         .otherwise("exact")
     )
     return p.select(F.col("key").alias(key), "field", "value", "utc_us", "other_us", "p_reading", status.alias("status"))

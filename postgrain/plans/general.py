@@ -20,13 +20,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_readings(spark, sf_dir).where("utc_us is not null").select("job_id", "field", "utc_us")
 
 
+def p4_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The instants of values that say them outright: ISO date and time with a numeric zone or Z, and epoch seconds or milliseconds."""
+    whole = r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d:\d\d(\.\d{1,6})?(Z|[+-]\d\d:?\d\d)|\d{10}|\d{13})$"
+    return p4_readings(spark, sf_dir).where(F.col("value").rlike(whole)).select("job_id", "field", "utc_us", "status")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """INR per month of each job whose figure, currency and period are known."""
     r = pay_to_monthly_inr(table(spark, sf_dir, "jobs"), table(spark, sf_dir, "pay_units"), key="id")
     return r.where("resolved").select(F.col("id").alias("job_id"), "month_inr_min", "month_inr_max")
 
 
-QUERIES = {"p4_found": p4_found, "p4_readings": p4_readings, "p5_found": p5_found}
+P4_WRITTEN_SQL = """
+WITH v AS (SELECT id, 'posted_date' AS field, posted_date AS x FROM jobs UNION ALL SELECT id, 'deadline', deadline FROM jobs)
+SELECT id AS job_id, field, 'exact' AS status, CASE WHEN regexp_full_match(x, '\\d{10}') THEN CAST(x AS BIGINT) * 1000000 WHEN regexp_full_match(x, '\\d{13}') THEN CAST(x AS BIGINT) * 1000
+  ELSE epoch_us(CAST(regexp_replace(regexp_replace(x, 'T', ' '), '([+-]\\d\\d):?(\\d\\d)$', '\\1:\\2') AS TIMESTAMPTZ)) END AS utc_us
+FROM v WHERE regexp_full_match(x, '\\d{4}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d:\\d\\d(\\.\\d{1,6})?(Z|[+-]\\d\\d:?\\d\\d)|\\d{10}|\\d{13}')
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_readings": p4_readings, "p4_written": p4_written, "p5_found": p5_found}
 
 
 def _pay_sql() -> str:
@@ -72,4 +85,4 @@ def _pay_sql() -> str:
     """
 
 
-ORACLES = {"p5_found": _pay_sql()}
+ORACLES = {"p4_written": P4_WRITTEN_SQL, "p5_found": _pay_sql()}

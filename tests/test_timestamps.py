@@ -68,6 +68,20 @@ def test_mixture_learns_an_unregistered_source(spark):
     assert got[len(dmy) - 1]["utc_us"] == us(2026, 2, 3) and got[len(dmy) - 1]["status"] == "inferred"
 
 
+def test_data_overrule_a_wrong_registry_and_few_values_do_not(spark):
+    wrong = [("x", "Europe/Berlin", False), ("y", "Europe/Berlin", False)]
+    many = [("x", f"{d:02d}/02/2026") for d in range(13, 29)] * 20 + [("x", "03/02/2026")]
+    got = read(spark, [*many, ("y", "03/02/2026"), ("y", "14/02/2026")], registry=wrong)
+    assert got[len(many) - 1]["utc_us"] == us(2026, 2, 3, zone="Europe/Berlin")
+    assert got[len(many)]["utc_us"] == us(2026, 3, 2, zone="Europe/Berlin")
+
+
+def test_time_that_occurs_twice_is_marked(spark):
+    got = read(spark, [("us", "2025-11-02 01:30:00"), ("us", "2025-11-02 01:30:00 -0400"), ("us", "2025-11-02 02:30:00"), ("us", "2025-03-09 02:30:00")])
+    assert (got[0]["status"], got[0]["utc_us"], got[0]["other_us"]) == ("ambiguous", us(2025, 11, 2, 5, 30), us(2025, 11, 2, 6, 30))
+    assert all(got[k]["status"] == "exact" and got[k]["other_us"] is None for k in (1, 2, 3))
+
+
 def test_unknown_order_is_marked(spark):
     r = read(spark, [("new", "03/02/2026")], registry=[])[0]
     assert r["status"] == "ambiguous" and {r["utc_us"], r["other_us"]} == {us(2026, 2, 3), us(2026, 3, 2)}
