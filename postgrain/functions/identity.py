@@ -78,3 +78,21 @@ def place_key(location: Column, title: Column, city: Column, country: Column, mo
 def cluster_key(company: Column, title: Column, cities: Cities) -> Column:
     """Brand and title: one claim across spellings, sources and cities."""
     return F.concat_ws("|", tx.brand_key(company), title_key(title, cities))
+
+
+def location_struct(location: Column, title: Column, cities: Cities) -> Column:
+    """struct(city, country, work_mode, cities): the listed cities a place names, in order; the title's only where there is no place.
+
+    A country is the one written, else the first city's. hybrid goes before remote before onsite; a known city, or any place that isn't a
+    placeholder, means onsite."""
+    place = F.trim(F.coalesce(location, F.lit("")))
+    named = places.places_in(F.when(place != "", place).otherwise(title), cities.aliases) if cities.aliases else F.array().cast("array<string>")
+    first = F.get(named, F.lit(0))
+    hint = F.lower(F.concat_ws(" ", place, title))
+    mode = (
+        F.when(hint.rlike("\\bhybrid\\b"), "hybrid")
+        .when(hint.rlike(f"\\b({tx.REMOTE_WORDS})\\b"), "remote")
+        .when(hint.rlike(f"\\b({tx.ONSITE_WORDS})\\b") | first.isNotNull() | ~F.lower(place).isin(*tx.NO_PLACE), "onsite")
+        .otherwise("unknown")
+    )
+    return F.struct(first.alias("city"), F.coalesce(country_in(place), F.nullif(cities.country(first), F.lit(""))).alias("country"), mode.alias("work_mode"), named.alias("cities"))

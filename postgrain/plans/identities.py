@@ -44,3 +44,11 @@ def keep_first_by_identity(t: Tables) -> DataFrame:
 def claim_by_brand(t: Tables) -> DataFrame:
     j = t.jobs.select("id", identity.cluster_key(F.col("company"), F.col("title"), _cities(t)).alias("cluster"))
     return j.groupBy("cluster").agg(F.min("id").alias("winner"), (F.count("*") - 1).alias("refused"))
+
+
+@query(f"""WITH {_KEYED}, a AS (SELECT id, trim(coalesce(location, '')) AS location, title, CASE WHEN trim(coalesce(location, '')) <> '' THEN {_FIRST.format(c='location')} ELSE {_FIRST.format(c='title')} END AS a1 FROM j),
+  b AS (SELECT a.*, n.city, l.land, lower(concat_ws(' ', location, title)) AS hint FROM a LEFT JOIN names n ON n.alias = nullif(a1, '') LEFT JOIN lands l ON l.city = n.city)
+  SELECT id, city, coalesce({_COUNTRY}, nullif(land, '')) AS country, CASE WHEN regexp_matches(hint, '\\bhybrid\\b') THEN 'hybrid' WHEN regexp_matches(hint, '\\b({tx.REMOTE_WORDS})\\b') THEN 'remote'
+    WHEN regexp_matches(hint, '\\b({tx.ONSITE_WORDS})\\b') OR city IS NOT NULL OR lower(location) NOT IN ({", ".join(repr(x) for x in tx.NO_PLACE)}) THEN 'onsite' ELSE 'unknown' END AS work_mode FROM b""")
+def location_structs(t: Tables) -> DataFrame:
+    return t.jobs.select("id", identity.location_struct(F.col("location"), F.col("title"), _cities(t)).alias("l")).select("id", "l.city", "l.country", "l.work_mode")
