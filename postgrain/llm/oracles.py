@@ -27,6 +27,12 @@ SELECT k.posting_key, d.capture_id AS description_capture_id, u.capture_id AS ur
 FROM (SELECT DISTINCT posting_key FROM h WHERE n >= 2) k LEFT JOIN d USING (posting_key) LEFT JOIN u USING (posting_key) LEFT JOIN c USING (posting_key)
 """
 
+_P1_RECORDS = _P1[: _P1.rindex("SELECT k.posting_key")] + """, v AS (SELECT capture_id, max(description_text) AS t, max(application_url) AS u, max(trim(apply_channel)) AS c FROM raw_posting GROUP BY 1)
+SELECT k.posting_key, k.n AS n_records, vd.t AS description_text, vu.u AS application_url, vc.c AS apply_channel
+FROM (SELECT DISTINCT posting_key, n FROM h) k LEFT JOIN d USING (posting_key) LEFT JOIN u USING (posting_key) LEFT JOIN c USING (posting_key)
+LEFT JOIN v vd ON vd.capture_id = d.capture_id LEFT JOIN v vu ON vu.capture_id = u.capture_id LEFT JOIN v vc ON vc.capture_id = c.capture_id
+"""
+
 _P2 = """
 WITH w AS (SELECT id, regexp_extract_all(lower(description_text), '[\\p{L}\\p{N}]+') AS ws FROM jobs WHERE description_text IS NOT NULL),
 s AS (SELECT DISTINCT id, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS sh FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS k) WHERE len(ws) >= 3),
@@ -35,6 +41,17 @@ p AS (SELECT a.id AS x, b.id AS y, count(*) AS common FROM s a JOIN s b ON a.sh
 SELECT x AS job_id_a, y AS job_id_b FROM p JOIN n n1 ON n1.id = x JOIN n n2 ON n2.id = y WHERE common >= 0.5 * (n1.n + n2.n - common)
 """
 
+_P2_CLASSES = """
+WITH w AS (SELECT id, description_text AS t, regexp_extract_all(lower(description_text), '[\\p{L}\\p{N}]+') AS ws FROM jobs WHERE description_text IS NOT NULL),
+c AS (SELECT t, min(id) AS class_job_id, count(*) AS copies, any_value(ws) AS ws FROM w WHERE len(ws) >= 3 GROUP BY 1),
+s AS (SELECT DISTINCT class_job_id AS id, ws[k] || ' ' || ws[k + 1] || ' ' || ws[k + 2] AS sh FROM c, LATERAL (SELECT unnest(range(1, len(ws) - 1)) AS k)),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.id AS x, b.id AS y, count(*) AS common FROM s a JOIN s b ON a.sh = b.sh AND a.id < b.id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n n1 ON n1.id = x JOIN n n2 ON n2.id = y WHERE common >= 0.5 * (n1.n + n2.n - common)),
+k AS (SELECT id, count(*) AS links FROM (SELECT x AS id FROM l UNION ALL SELECT y FROM l) GROUP BY 1)
+SELECT w.id AS job_id, class_job_id, copies, coalesce(links, 0) AS links FROM w JOIN c USING (t) LEFT JOIN k ON k.id = class_job_id
+"""
+
 _P8 = """
 WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS ws FROM eval_items),
 iw AS (SELECT DISTINCT item_id, array_to_string(ws[k : k + 11], '') AS g FROM q, LATERAL (SELECT unnest(range(1, len(ws) - 10)) AS k) WHERE len(ws) >= 12),
@@ -55,4 +72,4 @@ m AS (SELECT token, w, d, min(d) OVER (PARTITION BY token) AS least_d FROM p WHE
 SELECT t.token, coalesce(string_agg(w, ' ' ORDER BY w) FILTER (d = least_d), '') AS nearest FROM t LEFT JOIN m USING (token) WHERE NOT regexp_matches(t.token, '^[0-9]+$') GROUP BY 1
 """
 
-ORACLES = {"p6_tokens": _P6_TOKENS, "p1_found": _P1, "p2_found": _P2, "p8_found": _P8, "p6_counts": _P6}
+ORACLES = {"p1_records": _P1_RECORDS, "p2_classes": _P2_CLASSES, "p6_tokens": _P6_TOKENS, "p1_found": _P1, "p2_found": _P2, "p8_found": _P8, "p6_counts": _P6}

@@ -10,7 +10,7 @@ The fit uses at most ``max_labelled`` labelled texts, chosen by a hash of their
 text is scored. A score is the mean of its words' weights, so one look-up a word.
 
 Defined results: texts of another language, null texts and texts under ``min_words`` words split at white space give no row;
-with no labels at all the level is null; with one labelled level every text has that level; repeated rows stay.
+a document with conflicting labels counts with the lowest; with no labels at all the level is null; with one labelled level every text has that level; repeated rows stay.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ def reading_levels(
     if lang:
         d = d.where(F.col(lang) == language)
     d = d.select(F.col(key).alias("key"), F.col(text).alias("t"))
-    chosen = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("l_key"), F.col(label).cast("int").alias("level")).dropDuplicates(["l_key"])
+    chosen = labels.where(F.col(label).isNotNull()).select(F.col(key).alias("l_key"), F.col(label).cast("int").alias("level")).groupBy("l_key").agg(F.min("level").alias("level"))
     chosen = chosen.orderBy(F.xxhash64("l_key"), "l_key").limit(max_labelled)
     known = d.join(F.broadcast(chosen), F.col("key") == F.col("l_key")).select("level", "t")
 
