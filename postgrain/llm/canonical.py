@@ -8,7 +8,9 @@ was. An entry stands for several written names; tokens of the value that no entr
 value that says more than the entry isn't one. Under the threshold the value is reported as ``none``.
 
 The reference list (with its names) is broadcast after a check of its size. Values are resolved once a worker and remembered
-while ``remember`` allows; there is no shuffle, so a value that fills a third of all rows is no hot key.
+while ``remember`` allows; there is no shuffle, so a value that fills a third of all rows is no hot key. A longer list is
+met by joins instead (``map_by_join``), with the same result: distinct tokens join the vocabulary on their deletion neighbourhoods, distinct
+values join the postings of the corrected tokens.
 
 Defined results: null and empty values give no row, blank ones are ``none``; equal best scores go to the nearer tokens, then the smaller
 key; an empty reference list gives ``none`` throughout; repeated rows stay; long values are read whole.
@@ -206,21 +208,26 @@ class Reference:
                 best = (s, self.entries[e][0])
         return best
 
-    def resolve(self, value: str) -> tuple[str, float]:
-        """Key of the entry, or ``none``, and the score."""
+    def options(self, value: str) -> list[list[str]]:
+        """The ways to read a value, the earlier before the later: whole and in parts, with ignored words and without."""
         text = self.strip(value)
         tries = [text]
         if self.segments and len(parts := [p for p in self.segments.split(text) if p.strip()]) > 1:
             tries += parts
-        best = (0.0, NONE)
+        out = []
         for t in tries:
             ts = tokens(t) if self.shares is None else self.split(tokens(t))
             kept = [x for x in ts if x not in self.ignore and not x.isdigit()] if self.segments else ts
-            for option in (ts, kept) if kept != ts else (ts,):
-                if option:
-                    s, k = self.score(option)
-                    if s > best[0] + 1e-12:
-                        best = (s, k)
+            out += [o for o in ((ts, kept) if kept != ts else (ts,)) if o]
+        return out
+
+    def resolve(self, value: str) -> tuple[str, float]:
+        """Key of the entry, or ``none``, and the score."""
+        best = (0.0, NONE)
+        for option in self.options(value):
+            s, k = self.score(option)
+            if s > best[0] + 1e-12:
+                best = (s, k)
         return (best[1], best[0]) if best[0] >= self.threshold else (NONE, best[0])
 
 
@@ -240,6 +247,8 @@ def vocabulary(rows: list[tuple[str, str]], decoration: str = "") -> frozenset[s
 
 def map_to_list(df: DataFrame, names: DataFrame, *, key: str, value: str, remember: int = 200_000, **how) -> DataFrame:
     """row_id, ref_key, score: one row for each value that is neither null nor empty. ``names``: ref_key STRING, name STRING; ``how``: as for ``Reference``."""
+    if how.get("shares") is None and names.limit(MAX_REFERENCE_ROWS + 1).count() > MAX_REFERENCE_ROWS:
+        return map_by_join(df, names, key=key, value=value, **how)
     shared = df.sparkSession.sparkContext.broadcast((listed(names), how))
 
     def run(batches):
@@ -272,3 +281,84 @@ def repaired_tokens(df: DataFrame, names: DataFrame, *, value: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array(ts, pa.string()), pa.array([sorted(t for t, _ in ref.repair(x)) for x in ts], pa.list_(pa.string()))], names=["token", "nearest"])
 
     return df.where(F.col(value) != "").select(F.col(value).alias("v")).distinct().mapInArrow(run, "token string, nearest array<string>").distinct()
+
+
+def _deletion_keys(words: DataFrame) -> DataFrame:
+    """word, key: every word with the characters left out that its length allows."""
+
+    def run(batches):
+        for b in batches:
+            w, k = [], []
+            for x in b.column(0).to_pylist():
+                ks = deletions(x, allowed(len(x)))
+                w += [x] * len(ks)
+                k += ks
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(k, pa.string())], names=["word", "key"])
+
+    return words.mapInArrow(run, "word string, key string")
+
+
+def map_by_join(df: DataFrame, names: DataFrame, *, key: str, value: str, **how) -> DataFrame:
+    """As ``map_to_list`` for a list of any length, without ``shares``: nothing of the list is broadcast or collected."""
+    from postgrain.session import checkpointed
+
+    if how.get("shares") is not None:
+        raise ValueError("weights of the column need a list that can be broadcast")
+    shared = df.sparkSession.sparkContext.broadcast(how)
+
+    def entry_tokens(batches):
+        ref = Reference([], **shared.value)
+        for b in batches:
+            ts = [sorted(set(tokens(ref.strip(n)))) for n in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ts, pa.list_(pa.string()))], names=["ref_key", "ts"])
+
+    def read(batches):
+        ref = Reference([], **shared.value)
+        for b in batches:
+            v, o, ts = [], [], []
+            for x in b.column(0).to_pylist():
+                for k, option in enumerate(ref.options(x)):
+                    v.append(x)
+                    o.append(k)
+                    ts.append(list(dict.fromkeys(option)))
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.string()), pa.array(o, pa.int32()), pa.array(ts, pa.list_(pa.string()))], names=["v", "o", "ts"])
+
+    named = names.where("name <> ''").select(F.col("ref_key").cast("string"), "name").mapInArrow(entry_tokens, "ref_key string, ts array<string>")
+    entries = checkpointed(named.where(F.size("ts") > 0).distinct().withColumn("e", F.xxhash64("ref_key", "ts")))
+    n = entries.count()
+    df_of = entries.select(F.explode("ts").alias("c")).groupBy("c").agg(F.count("*").alias("df"))
+    idf = checkpointed(df_of.select("c", F.log(1 + F.lit(float(n)) / F.col("df")).alias("idf")))
+    posting = entries.select("e", "ref_key", F.explode("ts").alias("c")).join(idf, "c")
+    norm = posting.groupBy("e").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
+    asked = df.where(F.col(value) != "").select(F.col(value).alias("v")).distinct().mapInArrow(read, "v string, o int, ts array<string>")
+    asked = checkpointed(asked)
+    typed = asked.select(F.explode("ts").alias("t")).distinct()
+    exact = typed.join(idf.select(F.col("c").alias("t")), "t").select("t", F.col("t").alias("c"), F.lit(1.0).alias("s"))
+    odd = typed.join(idf.select(F.col("c").alias("t")), "t", "left_anti").where(~F.col("t").rlike("^\\d+$") & (F.length("t") > 2))
+    met = _deletion_keys(odd).join(_deletion_keys(idf.select("c")).select(F.col("word").alias("c"), "key"), "key").select(F.col("word").alias("t"), "c").distinct()
+
+    def near(batches):
+        for b in batches:
+            x, y = b.column(0).to_pylist(), b.column(1).to_pylist()
+            most = [min(allowed(len(p)), allowed(len(q))) for p, q in zip(x, y)]
+            d = [distance(p, q, m) for p, q, m in zip(x, y, most)]
+            keep = pa.array([a <= m for a, m in zip(d, most)])
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(d, pa.int32()).filter(keep)], names=["t", "c", "d"])
+
+    close = met.mapInArrow(near, "t string, c string, d int")
+    close = close.join(close.groupBy("t").agg(F.min("d").alias("d")), ["t", "d"]).select("t", "c", (1 - F.col("d") / F.greatest(F.length("t"), F.length("c"))).alias("s"))
+    repair = checkpointed(exact.unionByName(close).join(idf, "c"))
+    unknown = float(math.log(1 + n))
+    weight = repair.groupBy("t").agg(F.max("idf").alias("w"))
+    ignored = F.col("t").isin(*sorted(how.get("ignore") or [])) if how.get("ignore") else F.lit(False)
+    parts = asked.select("v", "o", F.explode("ts").alias("t"))
+    w = F.coalesce("w", F.when(ignored, 0.3 * unknown).otherwise(unknown))
+    square = parts.join(weight, "t", "left").groupBy("v", "o").agg(F.sqrt(F.sum(w * w)).alias("square"))
+    got = parts.join(repair.select("t", "c", "s"), "t").groupBy("v", "o", "c").agg(F.max("s").alias("s"))
+    scored = got.join(posting, "c").groupBy("v", "o", "e", "ref_key").agg(F.sum(F.col("idf") * F.col("idf") * F.col("s")).alias("dot"))
+    scored = scored.join(norm, "e").join(square, ["v", "o"]).withColumn("score", F.col("dot") / (F.col("norm") * F.col("square")))
+    best = scored.groupBy("v").agg(F.min_by(F.struct("ref_key", "score"), F.struct(-F.round("score", 10), "o", "ref_key")).alias("b"))
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.where(F.col(value) != "").select(F.col(key).cast(kind).alias("row_id"), F.col(value).alias("v")).join(best, "v", "left")
+    sure = F.col("b.score") >= how.get("threshold", 0.72)
+    return rows.select("row_id", F.when(sure, F.col("b.ref_key")).otherwise(NONE).alias("ref_key"), F.coalesce("b.score", F.lit(0.0)).alias("score"))

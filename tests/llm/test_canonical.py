@@ -42,3 +42,20 @@ def test_rows(spark):
     assert got == [(1, "1"), (1, "1"), (4, "none"), (5, "none")]
     assert {r["ref_key"] for r in c.map_to_list(df, names.where("false"), key="id", value="city").collect()} == {"none"}
     assert c.map_to_list(df.where("false"), names, key="id", value="city").count() == 0
+
+
+def test_joins_give_what_the_broadcast_gives(spark, monkeypatch):
+    rng = random.Random(7)
+    vocab = ["".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) for _ in range(60)]
+    names = [(str(k), " ".join(rng.sample(vocab, rng.randint(1, 3)))) for k in range(80)] + [("80", ""), ("81", "?!")]
+    typo = lambda w: w[:1] + w[2:] if rng.random() < 0.3 and len(w) > 3 else w
+    values = [", ".join(" ".join(typo(w) for w in rng.choice(names)[1].split() + rng.choice([[], ["near"], ["12"], ["zzz"]])) for _ in range(rng.randint(1, 2))) for _ in range(150)] + [None, "", "  ", "near", "12"]
+    df = spark.createDataFrame([(i, v, "clash") for i, v in enumerate(values)] + [(0, values[0], "clash")], "id bigint, city string, ref_key string")
+    ref = spark.createDataFrame(names, "ref_key string, name string")
+    how = {"ignore": frozenset({"near"}), "segments": ",", "decoration": r"\([^)]*\)", "threshold": 0.4}
+    want = sorted((r["row_id"], r["ref_key"], round(r["score"], 6)) for r in c.map_to_list(df, ref, key="id", value="city", **how).collect())
+    monkeypatch.setattr(c, "MAX_REFERENCE_ROWS", 10)
+    got = sorted((r["row_id"], r["ref_key"], round(r["score"], 6)) for r in c.map_to_list(df, ref, key="id", value="city", **how).collect())
+    assert got == want and len({k for _, k, _ in got}) > 30
+    assert c.map_by_join(df.where("false"), ref, key="id", value="city").count() == 0
+    assert {r["ref_key"] for r in c.map_by_join(df, ref.where("false"), key="id", value="city").collect()} == {"none"}
