@@ -1,8 +1,9 @@
 """Reading level of texts: a linear pairwise ranker on vocabulary and syntax features, calibrated by isotonic regression.
 
-Every feature is a mean over the text's words, so markup, line breaks and punctuation don't move it: word length, shares of
-long words, endings that mark abstract nouns, adverbs and participles, connectives and other function words (the
-syntax of the wording), and the share of each word in ``buckets`` hashed vocabulary classes. The ranker is fitted on
+Every feature is a mean over the text's words, so markup, line breaks and punctuation don't move it. Vocabulary: word length, shares
+of long words, and the share of each word in ``buckets`` hashed classes. Syntax: endings that mark abstract nouns, adverbs and
+participles, connectives and other function words, and which kinds of words follow each other (pairs of ``CLASSES`` word classes:
+a short word is its own kind, a longer one that of its ending). The ranker is fitted on
 pairs of labelled texts of different levels (logistic loss on the difference of their features); scores from models
 that haven't seen a text are fitted to the levels by isotonic regression, whose value, rounded, is the level.
 
@@ -32,6 +33,12 @@ FUNCTION = (
     "he she they is are was were be been being has have had do does can could may might must should will would not no"
 ).split()
 LONG = (4, 6, 8, 10, 12, 14)
+CLASSES = 32
+
+
+def word_class(word: str) -> int:
+    """The kind of a word by its form."""
+    return zlib.crc32((word if len(word) <= 3 else "-" + word[-2:]).encode("utf-8", "replace")) % CLASSES
 
 
 def word_features(word: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +58,11 @@ def word_features(word: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def n_features(buckets: int) -> int:
+    """Features of words, then those of pairs of neighbours."""
+    return n_word_features(buckets) + CLASSES * CLASSES
+
+
+def n_word_features(buckets: int) -> int:
     return 1 + len(LONG) + len(ENDINGS) + len(FUNCTION) + buckets
 
 
@@ -69,6 +81,9 @@ def text_features(text: str, buckets: int, cache: dict) -> tuple[list[int], list
         if (f := cache.get(w)) is None:
             f = cache[w] = word_features(w, buckets)
         total[f[0]] += c * f[1]
+    kinds = np.array([word_class(w) for w in ws], np.int64)
+    pairs = np.bincount(kinds[:-1] * CLASSES + kinds[1:], minlength=CLASSES * CLASSES) if len(ws) > 1 else 0
+    total[n_word_features(buckets) :] += pairs
     total /= max(1, len(ws))
     at = np.flatnonzero(total)
     return at.tolist(), total[at].tolist()
@@ -122,24 +137,40 @@ class Model:
         self.buckets, self.weights, self.knots = buckets, weights, knots
 
     def scores(self, texts: list[str], cache: dict) -> np.ndarray:
+        """Scores of texts; ``cache`` holds the number of each word in the tables of weights and kinds."""
         out = np.zeros(len(texts))
+        after = self.weights[n_word_features(self.buckets) :]
         for k, t in enumerate(texts):
-            ws = words(t)
-            out[k] = sum(map(cache.__getitem__, ws)) / max(1, len(ws))
+            ws = np.array([cache[w] for w in words(t)], np.int64)
+            if len(ws):
+                weight, kind = cache.tables()
+                kinds = kind[ws]
+                out[k] = (weight[ws].sum() + after[kinds[:-1] * CLASSES + kinds[1:]].sum()) / len(ws)
+            if len(cache) > 2_000_000:
+                cache.clear()
         return out
 
     def cache(self) -> dict:
         model = self
 
-        class Weights(dict):
-            def __missing__(self, word: str) -> float:
+        class Words(dict):
+            def __init__(self):
+                super().__init__()
+                self.weight, self.kind = np.zeros(1024), np.zeros(1024, np.int64)
+
+            def __missing__(self, word: str) -> int:
+                n = len(self)
+                if n == len(self.weight):
+                    self.weight, self.kind = np.append(self.weight, np.zeros(n)), np.append(self.kind, np.zeros(n, np.int64))
                 at, values = word_features(word, model.buckets)
-                s = self[word] = float(model.weights[at] @ values)
-                if len(self) > 2_000_000:
-                    self.clear()
-                return s
+                self.weight[n], self.kind[n] = model.weights[at] @ values, word_class(word)
+                self[word] = n
+                return n
+
+            def tables(self) -> tuple[np.ndarray, np.ndarray]:
+                return self.weight, self.kind
 
-        return Weights()
+        return Words()
 
     def levels(self, scores: np.ndarray) -> np.ndarray:
         return np.floor(np.interp(scores, *self.knots) + 0.5).astype(np.int32)
