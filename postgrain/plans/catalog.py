@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postgrain.plans import feeds, general, identities, more, mutations, registry, relational, scalars  # noqa: F401
+from postgrain.plans import feeds, general, identities, lookups, more, mutations, registry, relational, scalars  # noqa: F401
 from postgrain.session import table
 
 

@@ -16,13 +16,33 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def landing(spark: SparkSession, path: str) -> DataFrame:
-    """A stream over the Parquet files of a table (one file or a folder) with the table's own schema."""
+def landing(spark: SparkSession, path: str, *, files: int | None = None) -> DataFrame:
+    """A stream over the Parquet files of a table (one file or a folder) with the table's own schema; at most ``files`` a batch."""
     schema = spark.read.parquet(path).schema
+    r = spark.readStream.schema(schema)
+    if files:
+        r = r.option("maxFilesPerTrigger", files)
     local = path.removeprefix("file://")
     if os.path.isfile(local):
-        return spark.readStream.schema(schema).option("pathGlobFilter", os.path.basename(local)).parquet(os.path.dirname(local))
-    return spark.readStream.schema(schema).parquet(path)
+        return r.option("pathGlobFilter", os.path.basename(local)).parquet(os.path.dirname(local))
+    return r.parquet(path)
+
+
+def commit_stream(stream: DataFrame, *, key: str, outcome: str, target: str, checkpoint: str, seconds: int | None = None):
+    """Commits by time or count: a batch holds what ``files`` of its landing allow and starts every ``seconds`` (null: until the input ends).
+    Each batch appends its rows without those of keys it has already written, and its counts by outcome. Returns the running query."""
+    spark = stream.sparkSession
+
+    def apply(batch: DataFrame, n: int) -> None:
+        # batches before this one only: a batch that runs again mustn't see its own rows
+        done = [f"{target}/rows/b{k}" for k in snapshots.versions(spark, f"{target}/rows", "b") if k < n]
+        rows = merge.insert_absent(spark.read.parquet(*done) if done else batch.where("false"), batch, key=[key])
+        rows.write.mode("overwrite").parquet(f"{target}/rows/b{n}")
+        batch.groupBy(outcome).agg(F.count("*").alias("n")).withColumn("batch", F.lit(n)).coalesce(1).write.mode("overwrite").parquet(f"{target}/counts/b{n}")
+
+    w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = w.trigger(processingTime=f"{seconds} seconds") if seconds else w.trigger(availableNow=True)
+    return w.start()
 
 
 def fold_stream(stream: DataFrame, *, key: list[str], order: str, policies: dict[str, str], target: str, checkpoint: str, buckets: int = 64) -> None:

@@ -156,6 +156,20 @@ def test_stream_rewrites_only_touched_buckets_and_deletes_old_files(spark, tmp_p
     assert sizes[-1] <= 8 and all(n <= 2 for n in sizes[:-1]) and sorted(m for m in os.listdir(out) if m.startswith("m")) == ["m2", "m3"]
 
 
+def test_stream_commits_by_count_and_writes_a_key_once(spark, tmp_path):
+    for rows in ([("a", "new"), ("b", "new")], [("b", "seen"), ("c", "new")], [(None, "bad"), ("c", "seen")]):
+        spark.createDataFrame(rows, "k string, outcome string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = ingest.landing(spark, str(tmp_path / "in"), files=1)
+    ingest.commit_stream(s, key="k", outcome="outcome", target=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck")).awaitTermination()
+    got = sorted(r["k"] or "" for r in spark.read.parquet(str(tmp_path / "out" / "rows" / "*")).collect())
+    counts = spark.read.parquet(str(tmp_path / "out" / "counts" / "*")).groupBy("outcome").agg(F.sum("n").alias("n")).collect()
+    assert [k for k in got if k] == ["a", "b", "c"] and {r["outcome"]: r["n"] for r in counts} == {"new": 3, "seen": 2, "bad": 1}
+    slow = ingest.commit_stream(s, key="k", outcome="outcome", target=str(tmp_path / "out2"), checkpoint=str(tmp_path / "ck2"), seconds=1)
+    slow.processAllAvailable()
+    slow.stop()
+    assert spark.read.parquet(str(tmp_path / "out2" / "rows" / "*")).where("k is not null").count() == 3
+
+
 def test_stream_drops_rows_later_than_the_watermark(spark, tmp_path):
     hours = [[0, 0, 1], [5], [6], [0, 5, 6]]  # the last file's row of hour 0 comes when hour 0 is closed
     for i, hs in enumerate(hours):
