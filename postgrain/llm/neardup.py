@@ -9,8 +9,8 @@ coordinate empty is thrown again with the bound doubled. Weights are regions [0,
 
 Banding. ``bands`` groups of ``rows`` coordinates make the band keys, by default 48 of 4: pairs at similarity 0.55 meet with
 probability 0.990, at 0.6 0.998, at 0.5 0.955. Identical texts are one class first, so copies cost nothing here. Band keys
-travel packed, one binary row for each (batch, slice of the key space), and with them a sketch of 96 coordinates at 2
-bits. Equal keys are found by sorting a slice in memory. Slices are as many as the data asks for (a target of keys each).
+travel packed, one binary row for each (batch, slice of the key space), and with them a sketch of one bit for each of 192
+coordinates. Equal keys are found by sorting a slice in memory. Slices are as many as the data asks for (a target of keys each).
 Within a run of equal keys the sketch drops pairs far below the threshold, without reading any text: the threshold on agreeing sketch
 coordinates is four standard deviations below what a pair at the similarity threshold has (it keeps 0.99997 of such pairs, more above).
 
@@ -208,27 +208,27 @@ def signatures(owner: np.ndarray, element: np.ndarray, n_sets: int, k: int, weig
     return out
 
 
-SKETCH = 96  # coordinates of the sketch, 2 bits each
+SKETCH = 192  # coordinates of the sketch at most, a bit each
+WORDS = SKETCH // 64
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """n x SKETCH/32 words of 2 bits a coordinate."""
-    bits = (sig[:, :SKETCH] * np.uint32(0x9E3779B1) >> np.uint32(30)).astype(np.uint64)
-    shift = (2 * np.arange(32, dtype=np.uint64))[None, :]
-    return np.stack([(bits[:, 32 * i : 32 * i + 32] << shift).sum(1, dtype=np.uint64) for i in range(SKETCH // 32)], 1)
+    """n x WORDS words of a bit a coordinate; missing coordinates are zero."""
+    bits = np.zeros((len(sig), SKETCH), np.uint8)
+    n = min(SKETCH, sig.shape[1])
+    bits[:, :n] = sig[:, :n] * np.uint32(0x9E3779B1) >> np.uint32(31)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
 
 
 def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of sketch coordinates in which rows agree."""
-    x = a ^ b
-    x = (x | (x >> _U(1))) & _U(0x5555555555555555)
-    return SKETCH - np.bitwise_count(x).sum(1).astype(np.int64)
+    """Number of sketch coordinates in which rows agree (missing ones do)."""
+    return SKETCH - np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
 
 
-def least_agreeing(threshold: float, deviations: float = 4.0) -> int:
+def least_agreeing(threshold: float, coordinates: int = SKETCH, deviations: float = 4.0) -> int:
     """Coordinates in which a pair at the threshold agrees at least, up to so many standard deviations."""
-    p = threshold + (1 - threshold) / 4
-    return int(np.floor(SKETCH * p - deviations * np.sqrt(SKETCH * p * (1 - p))))
+    n, p = min(SKETCH, coordinates), threshold + (1 - threshold) / 2
+    return SKETCH - n + int(np.floor(n * p - deviations * np.sqrt(n * p * (1 - p))))
 
 
 def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
@@ -283,7 +283,7 @@ def candidates(
     spark = classes.sparkSession
     slices = max(12, -(-n_rows * bands // slice_entries))
     k = bands * rows
-    least = least_agreeing(threshold)
+    least = least_agreeing(threshold, k)
     names = slice_names(spark, slices)
 
     def pack(batches):
@@ -329,13 +329,13 @@ def candidates(
 
     def join(table: pa.Table) -> pa.Table:
         key, who, cid, sk = ([np.zeros(0, t)] for t in (_U, np.int64, np.int64, _U))
-        sk = [sk[0].reshape(0, SKETCH // 32)]
+        sk = [sk[0].reshape(0, WORDS)]
         base = 0
         marked, hot_key, straight, straight_sk = [np.zeros(0, _U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [sk[0]]
         for r in zip(*[table.column(c).to_pylist() for c in ("keys", "idx", "cids", "sketches")]):
             if not r[0]:
                 straight.append(np.frombuffer(r[2], np.int64))
-                straight_sk.append(np.frombuffer(r[3], np.uint64).reshape(-1, SKETCH // 32))
+                straight_sk.append(np.frombuffer(r[3], np.uint64).reshape(-1, WORDS))
                 hot_key.append(np.full(len(straight[-1]), np.frombuffer(r[1], np.uint64)[0] & _U((1 << 48) - 1)).view(np.int64))
                 continue
             six = np.frombuffer(r[0], np.uint8).reshape(-1, 6)
@@ -347,7 +347,7 @@ def candidates(
             key.append(eight.view(np.uint64).ravel())
             who.append(np.frombuffer(r[1], np.uint16).astype(np.int64) + base)
             cid.append(np.frombuffer(r[2], np.int64))
-            sk.append(np.frombuffer(r[3], np.uint64).reshape(-1, SKETCH // 32))
+            sk.append(np.frombuffer(r[3], np.uint64).reshape(-1, WORDS))
             base += len(cid[-1])
         key, who, cid, sk = np.concatenate(key), np.concatenate(who), np.concatenate(cid), np.concatenate(sk)
         # copies of other batches: one number for each class
@@ -393,7 +393,7 @@ def candidates(
         def compare(table: pa.Table) -> pa.Table:
             cid = table.column("a").to_numpy()
             mine = table.column("mine").to_numpy()
-            sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 32)
+            sk = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(-1, WORDS)
             lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
             left, right = np.flatnonzero(mine == lo), np.flatnonzero(mine == hi)
             out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]

@@ -119,6 +119,17 @@ def test_signature_does_not_depend_on_the_batch():
 def test_sketch_keeps_pairs_at_the_threshold():
     from math import comb
 
-    p, least = 0.5 + 0.5 / 4, nd.least_agreeing(0.5)
+    p, least = 0.5 + 0.5 / 2, nd.least_agreeing(0.5)
     lost = sum(comb(nd.SKETCH, k) * p**k * (1 - p) ** (nd.SKETCH - k) for k in range(least))
     assert lost < 5e-5
+    assert nd.least_agreeing(0.5, 64) > nd.SKETCH - 64
+
+
+def test_sketch_counts_agreeing_coordinates():
+    rng = np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 32, (50, 192), dtype=np.uint64).astype(np.uint32)
+    other = sig.copy()
+    other[:, :100] = rng.integers(0, 1 << 32, (50, 100), dtype=np.uint64).astype(np.uint32)
+    bit = lambda x: (x * np.uint32(0x9E3779B1)) >> np.uint32(31)
+    assert (nd.agreeing(nd.sketch(sig), nd.sketch(other)) == (bit(sig) == bit(other)).sum(1)).all()
+    assert (nd.agreeing(nd.sketch(sig[:, :64]), nd.sketch(other[:, :64])) == 128 + (bit(sig) == bit(other))[:, :64].sum(1)).all()
