@@ -3,6 +3,10 @@
 Leader clustering depends on its order: groups by size (ties by first row), each joining the first leader that is similar enough. It is
 done within blocks of labels that share their rarest token with some leader candidate, which leaves its result as it is: two
 labels at Jaccard ``t`` share a token of each one's prefix of the rarest ``n - ceil(t n) + 1`` tokens.
+
+A label's leader depends only on labels similar to it, on their leaders, and so on: on its connected component in the graph of
+similar labels. So up to ``max_labels`` distinct labels take one pass in one task, and more are cut into components by a prefix-filtered
+similarity join, each of which is a pass of its own; the result is the same.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import math
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from postgrain.functions import labels as lb
 
@@ -46,18 +50,53 @@ def leaders(groups: list[tuple[str, int, int]], threshold: float) -> dict[str, s
     return out
 
 
-def leader_clusters(labels: DataFrame, *, label: str, row: str, threshold: float = 0.8, max_labels: int = 200_000) -> DataFrame:
-    """label, cluster, n: distinct labels with their leader. The greedy pass is sequential by definition; it sees distinct
-    labels only, at most ``max_labels`` (more raise an error rather than being cut)."""
-    g = labels.where(F.col(label).isNotNull() & (F.trim(F.col(label)) != "")).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.min(row).alias("first"))
+def similar_labels(g: DataFrame, threshold: float) -> DataFrame:
+    """a, b: labels (column ``label``, distinct) at the threshold or more, both ways."""
+    t = g.select("label", F.array_remove(F.array_distinct(F.split(F.trim("label"), r"\s+")), "").alias("ts")).where(F.size("ts") > 0)
+    e = t.select("label", F.explode("ts").alias("w"))
+    df = e.groupBy("w").agg(F.count("*").alias("df"))
+    ordered = e.join(df, "w").groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ts"))
+    size = F.size("ts")
+    prefix = F.slice("ts", 1, (size - F.ceil(threshold * size - 1e-9) + 1).cast("int"))
+    p = ordered.select("label", "ts", F.explode(prefix).alias("w"))
+    q = p.select(F.col("label").alias("other"), F.col("ts").alias("ots"), "w")
+    met = p.join(q, "w").where((F.col("label") < F.col("other")) & (F.least(F.size("ts"), F.size("ots")) >= threshold * F.greatest(F.size("ts"), F.size("ots")) - 1e-9))
+    common = F.size(F.array_intersect("ts", "ots"))
+    met = met.where(common >= threshold * (F.size("ts") + F.size("ots") - common) - 1e-9).select(F.col("label").alias("a"), F.col("other").alias("b")).distinct()
+    return met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """label, part (the least label of its connected component): least labels travel along edges and jump to the least label's own, until nothing changes."""
+    from postgrain.session import checkpointed
+
+    edges = checkpointed(edges)
+    part = checkpointed(nodes.select("label", F.col("label").alias("part")))
+    while True:
+        near = edges.join(part.select(F.col("label").alias("b"), "part"), "b").groupBy(F.col("a").alias("label")).agg(F.min("part").alias("near"))
+        low = part.join(near, "label", "left").select("label", "part", F.least("part", "near").alias("low"))
+        jump = part.select(F.col("label").alias("low"), F.col("part").alias("far"))
+        new = checkpointed(low.join(jump, "low").select("label", F.least("low", "far").alias("part"), (F.least("low", "far") != F.col("part")).alias("changed")))
+        part = new.select("label", "part")
+        if new.where("changed").isEmpty():
+            return part
+
+
+def assigned(g: DataFrame, threshold: float, max_labels: int) -> DataFrame:
+    """label, leader of distinct labels (label, n, first)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_labels:
-            raise ValueError("too many distinct labels for one greedy pass")
         m = leaders(list(pdf[["label", "n", "first"]].itertuples(index=False, name=None)), threshold)
-        return pd.DataFrame({"label": pdf["label"], "cluster": pdf["label"].map(m), "n": pdf["n"]})
+        return pd.DataFrame({"label": pdf["label"], "leader": pdf["label"].map(m)})
 
-    return g.groupBy(F.lit(1).alias("all")).applyInPandas(run, "label string, cluster string, n bigint")
+    parts = g.withColumn("part", F.lit("")) if g.limit(max_labels + 1).count() <= max_labels else g.join(components(g, similar_labels(g, threshold)), "label")
+    return parts.groupBy("part").applyInPandas(run, "label string, leader string")
+
+
+def leader_clusters(labels: DataFrame, *, label: str, row: str, threshold: float = 0.8, max_labels: int = 200_000) -> DataFrame:
+    """label, cluster, n: distinct labels with their leader."""
+    g = labels.where(F.col(label).isNotNull() & (F.trim(F.col(label)) != "")).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.min(row).alias("first"))
+    return g.join(assigned(g, threshold, max_labels), "label").select("label", F.col("leader").alias("cluster"), "n")
 
 
 def question_clusters(rows: DataFrame, *, label: str, raw: str, kind: str, row: str, threshold: float = 0.8, max_labels: int = 200_000, minority: float = 0.1) -> DataFrame:
@@ -70,25 +109,14 @@ def question_clusters(rows: DataFrame, *, label: str, raw: str, kind: str, row:
     g = rows.groupBy(x, F.col(raw).alias("raw"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min(row).alias("first"))
     each = g.groupBy("label").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("rule", lb.rule_key(F.col("label")))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > max_labels:
-            raise ValueError("too many distinct labels for one greedy pass")
-        pdf = pdf.sort_values(["n", "first"], ascending=[False, True])
-        m = leaders(list(pdf[["label", "n", "first"]].itertuples(index=False, name=None)), threshold)
-        size = pdf["label"].map(m).value_counts()
-        names, taken = {}, set()
-        for head in pdf["label"]:
-            if m[head] == head:
-                key = "custom." + ("_".join(head.split()[:6])[:60] or "unlabelled")
-                while key in taken:
-                    key += "_"
-                taken.add(key)
-                names[head] = key
-        head = pdf["label"].map(m)
-        return pd.DataFrame({"label": pdf["label"], "cluster": head.map(names), "how": ["similarity" if size[h] > 1 else "exact" for h in head], "broad": False, "n": pdf["n"]})
-
-    schema = "label string, cluster string, how string, broad boolean, n bigint"
-    loose = each.where("rule is null").select("label", "n", "first").groupBy(F.lit(1).alias("all")).applyInPandas(run, schema)
+    free = each.where("rule is null").select("label", "n", "first")
+    led = free.join(assigned(free, threshold, max_labels), "label")
+    heads = led.groupBy("leader").agg(F.count("*").alias("members"), F.max(F.when(F.col("label") == F.col("leader"), F.struct("n", "first"))).alias("at"))
+    said = F.substring(F.array_join(F.slice(F.filter(F.split("leader", r"\s+"), lambda w: w != ""), 1, 6), "_"), 1, 60)
+    heads = heads.withColumn("base", F.concat(F.lit("custom."), F.coalesce(F.nullif(said, F.lit("")), F.lit("unlabelled"))))
+    w = Window.partitionBy("base").orderBy(F.desc("at.n"), F.asc("at.first"))  # leaders of one beginning: few
+    heads = heads.select("leader", "members", F.concat("base", F.repeat(F.lit("_"), F.row_number().over(w) - 1)).alias("cluster"))
+    loose = led.join(heads, "leader").select("label", "cluster", F.when(F.col("members") > 1, "similarity").otherwise("exact").alias("how"), F.lit(False).alias("broad"), "n")
     ruled = each.where("rule is not null").select("label", F.col("rule.key").alias("cluster"), F.lit("rule").alias("how"), F.col("rule.broad").alias("broad"), "n")
     named = ruled.unionByName(loose)
 

@@ -21,3 +21,18 @@ def test_rules_come_before_leaders(spark):
     assert got[ROWS[8][1]] == got[ROWS[9][1]] == ("custom.a_b_c_d_e_f", "similarity", ["merged 2 different phrasings by word overlap", "answer kinds differ: choice 1, free text 1"])
     assert got[ROWS[10][1]] == ("custom.a_b_c_d_e_f_", "exact", [])
     assert got[""] == ("custom.unlabelled", "exact", []) and got[ROWS[12][1]][1] == "exact"
+
+
+def test_components_give_what_one_pass_gives(spark):
+    import random
+
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    labels = {" ".join(sorted(rng.sample(words, rng.randint(2, 7)))) for _ in range(60)}
+    for x in list(labels):
+        ws = x.split()
+        labels |= {" ".join([*ws, rng.choice(words)]) for _ in range(2)} | {" ".join(ws[1:])}
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(sorted(labels)) for _ in range(1 + i % 3)] + [(999, None), (999, " ")], "id bigint, k string")
+    one = sorted(map(tuple, cluster.leader_clusters(d, label="k", row="id", threshold=0.6).collect()))
+    many = sorted(map(tuple, cluster.leader_clusters(d, label="k", row="id", threshold=0.6, max_labels=5).collect()))
+    assert one == many and len({c for _, c, _ in one}) < len(one)
