@@ -106,11 +106,14 @@ def question_clusters(rows: DataFrame, *, label: str, raw: str, kind: str, row:
     why a cluster is to be reviewed: merged by overlap, claimed by a broad rule, kinds of answer that differ with at least ``minority``
     each, more than one country. Null labels count as empty ones, which are one cluster."""
     x = F.coalesce(F.col(label), F.lit("")).alias("label")
+    from postgrain.session import checkpointed
+
     g = rows.groupBy(x, F.col(raw).alias("raw"), F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min(row).alias("first"))
-    each = g.groupBy("label").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("rule", lb.rule_key(F.col("label")))
+    g = checkpointed(g)
+    each = checkpointed(g.groupBy("label").agg(F.sum("n").alias("n"), F.min("first").alias("first")).withColumn("rule", lb.rule_key(F.col("label"))))
 
     free = each.where("rule is null").select("label", "n", "first")
-    led = free.join(assigned(free, threshold, max_labels), "label")
+    led = checkpointed(free.join(assigned(free, threshold, max_labels), "label"))
     heads = led.groupBy("leader").agg(F.count("*").alias("members"), F.max(F.when(F.col("label") == F.col("leader"), F.struct("n", "first"))).alias("at"))
     said = F.substring(F.array_join(F.slice(F.filter(F.split("leader", r"\s+"), lambda w: w != ""), 1, 6), "_"), 1, 60)
     heads = heads.withColumn("base", F.concat(F.lit("custom."), F.coalesce(F.nullif(said, F.lit("")), F.lit("unlabelled"))))
