@@ -8,8 +8,8 @@
    meet by MinHash bands too, or because they translate into each other (below); places meet when equal or when one isn't known.
    No pair of records is made before the last step.
 3. Equal roles. Wordings of one role ("SRE", "site reliability") are learned from the two tables by ``wordings.translations``: in a block
-   of one brand and place a listing's wording means one of the jobs' wordings or none (intakes stay out: they judge the result). Blocks of more than
-   ``block_wordings`` job wordings teach nothing (an employer that has every role everywhere) and are left out of this fit.
+   of one brand and place a listing's wording means one of the jobs' wordings or none (intakes stay out: they judge the result). Blocks of any
+   size count: those of an employer that has every role everywhere show that a wording which meets all of them means none.
 4. Classifier. Logistic regression on brand similarity, role evidence, likeness of wordings, its share of the role
    evidence of all the listing's candidates and of none, and what an unknown place leaves open. Its weak labels are the stated intakes of pairs that state two: pairs of one opening
    agree, others agree by chance (the product of the marginals), so the fit is that of a mixture; the same pairs without any evidence
@@ -199,15 +199,13 @@ def fit_mixture(x: np.ndarray, agree: np.ndarray, chance: float, other: np.ndarr
     return w
 
 
-def _related(left: DataFrame, right: DataFrame, counts: dict[str, int], *, block_wordings: int, floor: float = 0.0) -> DataFrame:
+def _related(left: DataFrame, right: DataFrame, counts: dict[str, int], *, floor: float = 0.0) -> DataFrame:
     """w1 (of the right side), w2 (of the left), alike, role: wordings that may mean one role."""
     from postgrain.session import checkpointed
 
     jobs = left.where(F.col("city") != NONE).select("brand", "city", F.col("wording").alias("w2")).distinct()
-    size = jobs.groupBy("brand", "city").agg(F.count("*").alias("size")).where(F.col("size") <= block_wordings)
     asked = right.where(F.col("city") != NONE).select("brand", "city", F.col("wording").alias("w1")).distinct()
-    met = asked.join(size, ["brand", "city"]).join(jobs, ["brand", "city"])
-    blocks = checkpointed(met.select(F.xxhash64("brand", "city", "w1").alias("occ"), "w1", "w2"))
+    blocks = checkpointed(asked.join(jobs, ["brand", "city"]).select(F.xxhash64("brand", "city", "w1").alias("occ"), "w1", "w2"))
     role = checkpointed(wordings.translations(blocks, counts))
     wl, wr = left.select("wording").distinct(), right.select("wording").distinct()
     seen = role.groupBy("w2").agg(F.max("tot").alias("tot"))
@@ -219,7 +217,7 @@ def _related(left: DataFrame, right: DataFrame, counts: dict[str, int], *, block
     return checkpointed(out.where(F.col("role") >= floor))
 
 
-def match(left: DataFrame, right: DataFrame, counts: dict[str, int], *, max_train: int = 40_000, min_train: int = 60, block_wordings: int = 40, confident: float = 0.5) -> DataFrame:
+def match(left: DataFrame, right: DataFrame, counts: dict[str, int], *, max_train: int = 40_000, min_train: int = 60, confident: float = 0.5) -> DataFrame:
     """left_key, right_key, confidence of the matching records, from their ``profiles``."""
     from postgrain.session import checkpointed
 
@@ -227,7 +225,7 @@ def match(left: DataFrame, right: DataFrame, counts: dict[str, int], *, max_trai
     left, right = checkpointed(left), checkpointed(right)
     profile = ["brand", "wording", "intake", "city"]
     lp, rp = (d.select(*profile).distinct() for d in (left, right))
-    related = _related(lp, rp, counts, block_wordings=block_wordings)
+    related = _related(lp, rp, counts)
     links = brand_links(lp.select("brand").distinct(), rp.select("brand").distinct())
     lo = lp.select(F.col("brand").alias("lb"), F.col("wording").alias("w2"), F.col("intake").alias("i2"), F.col("city").alias("c2"))
     ro = rp.select(F.col("brand").alias("rb"), F.col("wording").alias("w1"), F.col("intake").alias("i1"), F.col("city").alias("c1"))

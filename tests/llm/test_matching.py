@@ -60,6 +60,25 @@ def test_an_unknown_role_is_no_wildcard(spark):
     assert len([p for p in matched(spark, jobs, listings) if p[1] in odd]) <= 0.1 * len(odd)
 
 
+FILLERS = [f"{a}{b} {a}{c}" for a in ("bel", "cor", "dun", "fer", "gal", "hin", "jor", "kul", "lom", "mav") for b, c in (("ix", "ota"), ("uma", "ey"), ("ond", "ira"), ("ast", "umo"), ("erg", "ilp"), ("opt", "ach"))]
+
+
+def test_wordings_are_learned_from_blocks_of_many_wordings(spark):
+    rng = random.Random(6)
+    brands = ["".join(rng.choice(["bron", "tav", "mur", "lox", "gip", "zen", "kal", "wub", "fid", "hos"]) for _ in range(4)) for _ in range(80)]
+    jobs, listings, want = [], [], set()
+    for b in brands:
+        city = rng.choice(CITIES)[1]
+        for title in rng.sample(FILLERS, 41):
+            jobs.append((len(jobs), title, f"{b} labs", city, "clash", "clash"))
+        for old, new in rng.sample(ROLES, 4):
+            want.add((len(jobs), len(listings)))
+            jobs.append((len(jobs), old, f"{b} labs", city, "clash", "clash"))
+            listings.append((len(listings), new, f"{b} works", city, "clash", "clash"))
+    got = set(matched(spark, jobs, listings))
+    assert len(want) == 320 and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+
+
 def test_few_rows_use_the_fixed_weights(spark):
     jobs = [(1, "site reliability engineer", "Acme", "Aldersea", "", ""), (2, "copywriter", "Acme", "Aldersea", "", ""), (3, "site reliability engineer", "Zenith", "Tiefenau", "", "")]
     listings = [(7, "Site Reliability Engineer", "ACME", "Aldersea", "", ""), (8, "Site Reliability Engineer", "ACME", "Aldersea", "", "")]
