@@ -63,8 +63,9 @@ def test_an_unknown_role_is_no_wildcard(spark):
 FILLERS = [f"{a}{b} {a}{c}" for a in ("bel", "cor", "dun", "fer", "gal", "hin", "jor", "kul", "lom", "mav") for b, c in (("ix", "ota"), ("uma", "ey"), ("ond", "ira"), ("ast", "umo"), ("erg", "ilp"), ("opt", "ach"))]
 
 
-def test_wordings_are_learned_from_blocks_of_many_wordings(spark):
-    rng = random.Random(6)
+def large_blocks(seed):
+    """Jobs and listings of employers that have 45 wordings each; no listing uses the wording of its job."""
+    rng = random.Random(seed)
     brands = ["".join(rng.choice(["bron", "tav", "mur", "lox", "gip", "zen", "kal", "wub", "fid", "hos"]) for _ in range(4)) for _ in range(80)]
     jobs, listings, want = [], [], set()
     for b in brands:
@@ -75,10 +76,26 @@ def test_wordings_are_learned_from_blocks_of_many_wordings(spark):
             want.add((len(jobs), len(listings)))
             jobs.append((len(jobs), old, f"{b} labs", city, "clash", "clash"))
             listings.append((len(listings), new, f"{b} works", city, "clash", "clash"))
+    return jobs, listings, want
+
+
+def test_wordings_are_learned_from_blocks_of_many_wordings(spark):
+    jobs, listings, want = large_blocks(6)
     got = set(matched(spark, jobs, listings))
     assert len(want) == 320 and len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
 
 
+def test_one_small_block_of_a_large_employer_is_no_evidence(spark):
+    names = [old for old, _ in ROLES] + FILLERS
+    left = [("large", w, None, f"c{c}") for c in range(12) for w in names] + [("large", "quant", None, "c12")]
+    left += [(f"b{k}", w, None, "c0") for k in range(40) for w in names[k % 10 :: 10]]
+    right = [("large", w, None, f"c{c}") for c in range(13) for w in ("forklift operator", "night driver", "canteen chef", "yoga teacher")]
+    right += [(f"b{k}", names[k % 10], None, "c0") for k in range(40)]
+    sides = (spark.createDataFrame(x, "brand string, wording string, intake string, city string") for x in (left, right))
+    role = {(r["w1"], r["w2"]): r["role"] for r in m._related(*sides, dict.fromkeys("forklift operator night driver canteen chef yoga teacher quant".split(), 50)).collect()}
+    assert max(role.get((w, "quant"), 0.0) for w in ("forklift operator", "night driver", "canteen chef", "yoga teacher")) < 1 < role["quant", "quant"]
+
+
 def test_few_rows_use_the_fixed_weights(spark):
     jobs = [(1, "site reliability engineer", "Acme", "Aldersea", "", ""), (2, "copywriter", "Acme", "Aldersea", "", ""), (3, "site reliability engineer", "Zenith", "Tiefenau", "", "")]
     listings = [(7, "Site Reliability Engineer", "ACME", "Aldersea", "", ""), (8, "Site Reliability Engineer", "ACME", "Aldersea", "", "")]
