@@ -15,7 +15,8 @@ Equal wordings. ``translations``: an expectation-maximisation over blocks in whi
 (word alignment with whole wordings): each round splits an occurrence over the wordings of its block by their present
 translation weights, or over none of them, and counts again. Lexical likeness is the prior.
 
-Statistics cover all rows. Values of more than ``LONGEST`` tokens are prose and teach nothing; they are still read whole by the operators.
+Statistics cover all rows, values of any length among them. Decoration and later words alone leave out values of more than ``LONGEST``
+tokens: those are prose, which has no name in it to stand beside. They are still read whole by the operators.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from postgrain.llm.canonical import PARTS, allowed, deletions, distance, tokens
 
 LONGEST = 64
+PAIRS = 100_000  # pairs of a batch that leaves a worker
 REMARK = r"\([^)]*\)|\[[^\]]*\]|\|.*$"
 
 
@@ -48,9 +50,8 @@ def distinct_tokens(df: DataFrame, value: str, *, strip: str = REMARK) -> DataFr
 
 def vocabulary(rows: DataFrame, *, share: float = 1e-4, least: int = 5) -> dict[str, int]:
     """Rows of each token that stands in at least ``share`` of the rows and in ``least`` of them."""
-    short = rows.where(F.size("ts") <= LONGEST)
-    total = short.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    counts = short.select(F.explode(F.array_distinct("ts")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    counts = rows.select(F.explode(F.array_distinct("ts")).alias("t"), "n").groupBy("t").agg(F.sum("n").alias("n"))
     return {r["t"]: r["n"] for r in counts.where(F.col("n") >= max(least, share * total)).collect()}
 
 
@@ -129,29 +130,51 @@ def later_words(rows: DataFrame, *, share: float = 3e-3, firsts: int = 5) -> lis
 
 
 def noise_tokens(df: DataFrame, value: str, known: frozenset[str], *, share: float = 5e-4, beside: int = 5) -> frozenset[str]:
-    """Tokens that no token of ``known`` explains, in at least ``share`` of the rows and beside ``beside`` different known ones."""
+    """Tokens that no token of ``known`` explains, in at least ``share`` of the rows and beside ``beside`` different known ones.
+
+    Values of any length count, a row of a long one as one row; their pairs leave in batches of ``PAIRS``."""
     rows = distinct_tokens(df, value, strip="")
     shared = df.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         spell = Spelling(dict.fromkeys(shared.value, 1), 0.0)
         for b in batches:
-            left, right, n = [], [], []
+            out = _Edges()
             for ts, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 fixed = [(t, spell(t) if t not in spell.counts else t) for t in dict.fromkeys(ts) if not t.isdigit()]
-                names = [f for _, f in fixed if f in spell.counts]
+                names = list(dict.fromkeys(f for _, f in fixed if f in spell.counts))
                 for t, f in fixed:
                     if f not in spell.counts:
-                        for x in names or [""]:
-                            left.append(t)
-                            right.append(x)
-                            n.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(n, pa.int64())], names=["t", "x", "n"])
+                        for m, x in enumerate(names or [""]):
+                            out.add(t, x, 0 if m else k)
+                        if out.full():
+                            yield out.batch()
+            yield out.batch()
 
     total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    t = rows.where(F.size("ts") <= LONGEST).select("ts", "n").mapInArrow(run, "t string, x string, n bigint")
-    t = t.groupBy("t", "x").agg(F.sum("n").alias("n")).groupBy("t").agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.count_if(F.col("x") != "").alias("beside"))
-    return frozenset(r["t"] for r in t.where((F.col("n") >= share * total) & (F.col("beside") >= beside)).select("t").collect())
+    t = rows.select("ts", "n").mapInArrow(run, _Edges.SCHEMA)
+    t = t.groupBy("p", "x").agg(F.sum("n").alias("n")).groupBy("p").agg(F.sum("n").alias("n"), F.count_if(F.col("x") != "").alias("beside"))
+    return frozenset(r["p"] for r in t.where((F.col("n") >= share * total) & (F.col("beside") >= beside)).select("p").collect())
+
+
+class _Edges:
+    """Rows p, x, n that leave in batches of bounded size."""
+
+    SCHEMA = "p string, x string, n bigint"
+
+    def __init__(self):
+        self.rows: list[tuple[str, str, int]] = []
+
+    def add(self, p: str, x: str, n: int) -> None:
+        self.rows.append((p, x, n))
+
+    def full(self) -> bool:
+        return len(self.rows) >= PAIRS
+
+    def batch(self) -> pa.RecordBatch:
+        p, x, n = zip(*self.rows) if self.rows else ((), (), ())
+        self.rows = []
+        return pa.RecordBatch.from_arrays([pa.array(p, pa.string()), pa.array(x, pa.string()), pa.array(n, pa.int64())], names=["p", "x", "n"])
 
 
 def parts(value: str) -> list[str]:
@@ -166,23 +189,22 @@ def remarks(df: DataFrame, value: str, *, share: float = 5e-4, beside: int = 5)
 
     def run(batches):
         for b in batches:
-            left, right, n = [], [], []
+            left, right, n, rows = [], [], [], []
             for x, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ps = parts(x)
-                if len(ps) == 1:
-                    left += ps
-                    right.append("")
+                edges = dict.fromkeys(e for p, q in zip(ps, ps[1:]) if p != q for e in ((p, q), (q, p))) if len(ps) != 1 else {(ps[0], ""): None}
+                met = set()
+                for p, q in edges:
+                    left.append(p)
+                    right.append(q)
                     n.append(k)
-                elif 2 <= len(ps) <= LONGEST:
-                    for p, q in zip(ps, ps[1:]):
-                        left += [p, q]
-                        right += [q, p]
-                        n += [k, k]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(n, pa.int64())], names=["p", "x", "n"])
+                    rows.append(0 if p in met else k)
+                    met.add(p)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), pa.array(right, pa.string()), pa.array(n, pa.int64()), pa.array(rows, pa.int64())], names=["p", "x", "n", "rows"])
 
     total = v.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    edge = v.mapInArrow(run, "p string, x string, n bigint").where("p <> x").groupBy("p", "x").agg(F.sum("n").alias("n"))
-    beside_n, alone_n = F.sum(F.when(F.col("x") != "", F.col("n")).otherwise(0)), F.sum(F.when(F.col("x") == "", F.col("n")).otherwise(0))
+    edge = v.mapInArrow(run, "p string, x string, n bigint, rows bigint").groupBy("p", "x").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
+    beside_n, alone_n = F.sum(F.when(F.col("x") != "", F.col("rows")).otherwise(0)), F.sum(F.when(F.col("x") == "", F.col("rows")).otherwise(0))
     degree = edge.groupBy("p").agg(F.count_if(F.col("x") != "").alias("degree"), beside_n.alias("n"), alone_n.alias("alone"))
     around = edge.where("x <> ''").join(degree.select(F.col("p").alias("x"), F.col("degree").alias("theirs")), "x")
     around = around.groupBy("p").agg((F.sum(F.col("theirs") * F.col("n")) / F.sum("n")).alias("theirs"))

@@ -42,6 +42,22 @@ def test_noise_and_remarks(spark):
     assert w.remarks(one(spark, []), "v") == frozenset() and w.noise_tokens(one(spark, []), "v", frozenset()) == frozenset()
 
 
+def test_long_values_count_as_rows(spark):
+    cities = [f"aldersea{c}" for c in "abcdefgh"]
+    long = " ".join(["central", *cities, *[f"word{k}x" for k in range(80)]])
+    values = [c for c in cities for _ in range(10)] + [f"{long} {'y' * k}z" for k in range(20)]
+    got = w.noise_tokens(one(spark, values), "v", frozenset(cities), share=0.15)
+    assert got == {"central", *[f"word{k}x" for k in range(80)]}
+    # one long value is one row, however many names it holds
+    assert w.noise_tokens(one(spark, values[:81]), "v", frozenset(cities), share=0.05) == frozenset()
+    labels = [f"label number {a}" for a in ("one", "two", "three", "four", "five", "six", "seven", "eight")]
+    forms = [" / ".join(["we read it", x, *[f"odd part {x} {i} {k}" for i in range(70)]]) for x in labels for k in range(3)]
+    assert w.remarks(one(spark, [*labels, *forms]), "v") == {"we read it"}
+    assert w.remarks(one(spark, labels * 10 + [" / ".join(y for x in labels for y in ("we read it", x))]), "v", share=0.05) == frozenset()
+    ts = w.distinct_tokens(one(spark, [" ".join(f"t{k}" for k in range(70))] * 3 + ["u"] * 3), "v", strip="")
+    assert w.shares(ts) == {**{f"t{k}": 0.5 for k in range(70)}, "u": 0.5}
+
+
 def test_translations_against_a_plain_loop(spark):
     rng = random.Random(8)
     rows, counts = [], {f"w{k}": 5 for k in range(8)}
