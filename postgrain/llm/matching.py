@@ -9,9 +9,10 @@
    No pair of records is made before the last step.
 3. Equal roles. Wordings of one role ("SRE", "site reliability") are learned from the two tables by ``wordings.translations``: in a block
    of one brand and place a listing's wording means one of the jobs' wordings or none (intakes stay out: they judge the result). Blocks of any
-   size count: those of an employer that has every role everywhere show that a wording which meets all of them means none.
+   size count: those of an employer that has every role everywhere show that a wording which meets all of them means none. An employer has
+   one voice for a wording, and role evidence is the log of the voices seen over those expected by chance, both with ``SHRINK`` added.
 4. Classifier. Logistic regression on brand similarity, role evidence, likeness of wordings, its share of the role
-   evidence of all the listing's candidates and of none, and what an unknown place leaves open. Its weak labels are the stated intakes of pairs that state two: pairs of one opening
+   evidence above chance of all the listing's candidates and of none, and what an unknown place leaves open. Its weak labels are the stated intakes of pairs that state two: pairs of one opening
    agree, others agree by chance (the product of the marginals), so the fit is that of a mixture; the same pairs without any evidence
    for the role stand for non-matches. The fit takes at most ``max_train``
    such pairs by hash order. Confidences are calibrated by isotonic regression of the agreement on pairs left out of the fit, less
@@ -30,7 +31,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postgrain.llm import wordings
 from postgrain.llm.canonical import NONE, Reference, distance, tokens
@@ -164,6 +165,9 @@ FEATURES = ["similarity", "exact", "brand_behind", "role", "alike", "same", "rol
 #: Weights of the features and the intercept where too few pairs state two intakes.
 FALLBACK = [12.0, 0.5, -12.0, 1.5, 1.0, 1.0, 2.0, -0.5, -4.0, -15.0]
 
+#: Employers added to those seen and to those expected by chance, so that a wording seen at one employer alone has little evidence for its role.
+SHRINK = 0.25
+
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-2, steps: int = 30) -> np.ndarray:
     """Weights, intercept last, by Newton steps."""
@@ -205,8 +209,12 @@ def _related(left: DataFrame, right: DataFrame, counts: dict[str, int], *, floor
 
     jobs = left.where(F.col("city") != NONE).select("brand", "city", F.col("wording").alias("w2")).distinct()
     asked = right.where(F.col("city") != NONE).select("brand", "city", F.col("wording").alias("w1")).distinct()
-    blocks = checkpointed(asked.join(jobs, ["brand", "city"]).select(F.xxhash64("brand", "city", "w1").alias("occ"), "w1", "w2"))
-    role = checkpointed(wordings.translations(blocks, counts))
+    # an employer has one voice for a wording, shared by the places where it lists it: its blocks are no evidence apart from one another
+    asked = asked.join(jobs.select("brand", "city").distinct(), ["brand", "city"], "left_semi")
+    asked = asked.withColumn("voice", 1 / F.count("*").over(Window.partitionBy("brand", "w1")))
+    blocks = checkpointed(asked.join(jobs, ["brand", "city"]).select(F.xxhash64("brand", "city", "w1").alias("occ"), "w1", "w2", "voice"))
+    role = wordings.translations(blocks, counts).withColumn("role", F.log((F.col("c") + SHRINK) / (F.col("by_chance") + SHRINK)))
+    role = checkpointed(role.drop("c", "by_chance"))
     wl, wr = left.select("wording").distinct(), right.select("wording").distinct()
     seen = role.groupBy("w2").agg(F.max("tot").alias("tot"))
     alike = met_by_minhash(wl, wr, bands=20, rows=3).select(F.col("y").alias("w1"), F.col("x").alias("w2")).join(role.select("w1", "w2"), ["w1", "w2"], "left_anti")
@@ -241,12 +249,12 @@ def match(left: DataFrame, right: DataFrame, counts: dict[str, int], *, max_trai
     pairs = checkpointed(cases[0].select(*columns).unionByName(cases[1].select(*columns)).unionByName(cases[2].select(*columns)))
     asked = ["rb", "w1", "c1"]
     role = F.least("role", F.lit(5.0))
-    of = pairs.groupBy(*asked).agg(F.sum(F.exp(role)).alias("all_roles"), F.max("similarity").alias("best_brand"), F.count_distinct(F.when((F.col("c2") != NONE) & (F.col("role") >= 2), F.col("c2"))).alias("cities"))
+    of = pairs.groupBy(*asked).agg(F.sum(F.expm1(role)).alias("all_roles"), F.max("similarity").alias("best_brand"), F.count_distinct(F.when((F.col("c2") != NONE) & (F.col("role") >= 1), F.col("c2"))).alias("cities"))
     p = pairs.join(of, asked)
     unknown = ((F.col("c1") == NONE) | (F.col("c2") == NONE)).cast("double")
     features = [
         F.col("similarity"), (F.col("similarity") == 1).cast("double"), F.col("best_brand") - F.col("similarity"), role, F.col("alike"), (F.col("w1") == F.col("w2")).cast("double"),
-        F.exp(role) / (F.col("all_roles") + 1), unknown, unknown * (1 - 1 / F.greatest("cities", F.lit(1))),
+        F.expm1(role) / (F.col("all_roles") + 1), unknown, unknown * (1 - 1 / F.greatest("cities", F.lit(1))),
     ]
     p = p.withColumn("f", F.array(*features))
     stated = p.where(F.col("i1").isNotNull() & F.col("i2").isNotNull())

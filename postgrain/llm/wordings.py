@@ -256,10 +256,14 @@ def likeness(pairs: DataFrame, counts: dict[str, int]) -> DataFrame:
 
 
 def translations(blocks: DataFrame, counts: dict[str, int], *, rounds: int = 3, prior: float = 4.0, rare: float = 0.5) -> DataFrame:
-    """w1, w2, alike, role (log of the translation weight over w1's own share), tot (expected occurrences that w2 explains).
-
-    ``blocks``: occ BIGINT (an occurrence of w1), w1, w2 (a wording of its block), distinct rows; read once a round, so checkpoint it."""
-    own = blocks.groupBy("occ").agg(F.first("w1").alias("w1")).groupBy("w1").agg(F.count("*").alias("n1"))
+    """w1, w2, alike, role (log of the translation weight over w1's own share), tot (expected occurrences that w2 explains), c (those of w1
+    among them), by_chance (what c would be if w2 explained w1 no more than any other wording).
+
+    ``blocks``: occ BIGINT (an occurrence of w1), w1, w2 (a wording of its block), distinct rows; read once a round, so checkpoint it. With a
+    column voice an occurrence counts as so much of one."""
+    voice = F.col("voice") if "voice" in blocks.columns else F.lit(1.0)
+    blocks = blocks.select("occ", "w1", "w2", voice.alias("voice"))
+    own = blocks.groupBy("occ").agg(F.first("w1").alias("w1"), F.first("voice").alias("voice")).groupBy("w1").agg(F.sum("voice").alias("n1"))
     whole = own.agg(F.sum("n1").alias("whole"))
     own = own.crossJoin(F.broadcast(whole)).select("w1", (F.col("n1") / F.col("whole")).alias("p1"))
     base = likeness(blocks.select("w1", "w2").distinct(), counts).join(own, "w1")
@@ -267,8 +271,8 @@ def translations(blocks: DataFrame, counts: dict[str, int], *, rounds: int = 3,
     now = base.withColumn("t", F.col("start"))
     for _ in range(rounds):
         e = blocks.join(now.select("w1", "w2", "t", "p1"), ["w1", "w2"])
-        e = e.withColumn("post", F.col("t") / (F.sum("t").over(Window.partitionBy("occ")) + F.col("p1")))
+        e = e.withColumn("post", F.col("voice") * F.col("t") / (F.sum("t").over(Window.partitionBy("occ")) + F.col("p1")))
         c = e.groupBy("w1", "w2").agg(F.sum("post").alias("c"))
         c = c.withColumn("tot", F.sum("c").over(Window.partitionBy("w2")))
         now = base.join(c, ["w1", "w2"]).withColumn("t", (F.col("c") + rare * F.col("start")) / (F.col("tot") + rare))
-    return now.select("w1", "w2", "alike", F.log(F.col("t") / F.col("p1")).alias("role"), "tot")
+    return now.select("w1", "w2", "alike", F.log(F.col("t") / F.col("p1")).alias("role"), "tot", "c", (F.col("p1") * F.col("tot")).alias("by_chance"))

@@ -96,6 +96,16 @@ def test_one_small_block_of_a_large_employer_is_no_evidence(spark):
     assert max(role.get((w, "quant"), 0.0) for w in ("forklift operator", "night driver", "canteen chef", "yoga teacher")) < 1 < role["quant", "quant"]
 
 
+def test_small_blocks_of_one_employer_are_one_voice(spark):
+    names, odd = [old for old, _ in ROLES] + FILLERS, ("forklift operator", "night driver", "canteen chef", "yoga teacher")
+    left = [("large", w, None, f"c{c}") for c in range(12) for w in names] + [("large", "quant", None, c) for c in ("c12", "c13")]
+    left += [(f"b{k}", w, None, "c0") for k in range(400) for w in names[k % 10 :: 10]]
+    right = [("large", w, None, f"c{c}") for c in range(14) for w in odd] + [(f"b{k}", names[k % 70], None, "c0") for k in range(400)]
+    sides = (spark.createDataFrame(x, "brand string, wording string, intake string, city string") for x in (left, right))
+    role = {(r["w1"], r["w2"]): r["role"] for r in m._related(*sides, dict.fromkeys("forklift operator night driver canteen chef yoga teacher quant".split(), 50)).collect()}
+    assert max(role.get((w, "quant"), 0.0) for w in odd) < 1 < role["quant", "quant"]
+
+
 def test_few_rows_use_the_fixed_weights(spark):
     jobs = [(1, "site reliability engineer", "Acme", "Aldersea", "", ""), (2, "copywriter", "Acme", "Aldersea", "", ""), (3, "site reliability engineer", "Zenith", "Tiefenau", "", "")]
     listings = [(7, "Site Reliability Engineer", "ACME", "Aldersea", "", ""), (8, "Site Reliability Engineer", "ACME", "Aldersea", "", "")]
